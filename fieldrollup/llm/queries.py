@@ -4,14 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldrollup.llm import exact_dedup, quality, sharding
+from fieldrollup.llm import exact_dedup, jaccard_join, lm, mixing, pieces, quality, sharding, toxicity
 from fieldrollup.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, d, "documents"))
+
+
+def domain_levels() -> list[tuple[str, Column]]:
+    """The tree of the test tables: a domain by the source's number, its languages, its sources."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
+    domain = F.when(number == 0, "hub").when(number < 10, "web").otherwise("books")
+    return [("domain", domain), ("language", F.col("lang")), ("origin", F.col("source"))]
+
+
+#: Target weights by path; a path that isn't named weighs 1 among its siblings.
+WEIGHTS = {
+    ("hub",): 0.3, ("web",): 0.4, ("books",): 0.3,
+    ("hub", "en"): 0.6, ("hub", "de"): 0.15, ("hub", "fr"): 0.15, ("hub", "es"): 0.1,
+    ("web", "en"): 0.55, ("web", "de"): 0.15, ("web", "fr"): 0.15, ("web", "es"): 0.15,
+    ("books", "en"): 0.5, ("books", "de"): 0.2, ("books", "fr"): 0.2, ("books", "es"): 0.1,
+}
+
+
+def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, d, "documents"), domain_levels(), WEIGHTS)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "domain", "language", "origin", "n_tokens", "epoch")
+
+
+def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.encode(table(spark, d, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.token_counts(table(spark, d, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
@@ -24,8 +62,15 @@ def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm.lm_scores(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op6_exact_dedup, op7_sharding, op8_quality_rules)
+    found = (
+        op1_ngram_jaccard_join, op2_mixing, op3_sentencepiece, op4_toxicity, op5_token_counts,
+        op6_exact_dedup, op7_sharding, op8_quality_rules, op9_lm_scoring,
+    )
     return {q.__name__: q for q in found}
 
 
