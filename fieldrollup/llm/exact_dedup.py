@@ -46,7 +46,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     opened = rows.groupBy("n_left", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     opened = stage.write(opened.select(F.col("n_left").alias("_len"), F.col("digit").alias("_digit"), F.monotonically_increasing_id().alias("gid")), "open0")
-    joined = rows.join(opened, (F.col("n_left") == F.col("_len")) & (F.col("digit") == F.col("_digit")), "left")
+    # a merge join at every size: the open digits grow with the input and are never broadcast
+    joined = rows.join(opened.hint("merge"), (F.col("n_left") == F.col("_len")) & (F.col("digit") == F.col("_digit")), "left")
     state = joined.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "text_sha256", "gid",
         (F.col("n_left") - first).alias("n_left"),
@@ -65,7 +66,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         digits = state.withColumn("digit", F.substring("rest", 1, width))
         found = digits.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found = stage.write(found.select(F.col("gid").alias("_gid"), F.col("digit").alias("_digit"), F.monotonically_increasing_id().alias("new")), f"open{k}")
-        split = digits.join(found, (F.col("gid") == F.col("_gid")) & (F.col("digit") == F.col("_digit")), "left").select(
+        split = digits.join(found.hint("merge"), (F.col("gid") == F.col("_gid")) & (F.col("digit") == F.col("_digit")), "left").select(
             *columns, F.col("new").alias("gid"), (F.col("n_left") - width).alias("n_left"),
             F.when(F.col("new").isNotNull() & (F.col("n_left") > width), F.substring("rest", width + 1, 1 << 30)).alias("rest"),
         )
