@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldrollup.llm import exact_dedup, jaccard_join, lm, mixing, pieces, quality, sharding, toxicity
+from fieldrollup.llm import exact_dedup, jaccard_join, lm, mixing, pieces, quality, repeats, sharding, toxicity
 from fieldrollup.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,10 +66,14 @@ def op9_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     return lm.lm_scores(table(spark, d, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_ngram_jaccard_join, op2_mixing, op3_sentencepiece, op4_toxicity, op5_token_counts,
-        op6_exact_dedup, op7_sharding, op8_quality_rules, op9_lm_scoring,
+        op6_exact_dedup, op7_sharding, op8_quality_rules, op9_lm_scoring, op10_suffix_dedup,
     )
     return {q.__name__: q for q in found}
 
