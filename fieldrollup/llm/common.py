@@ -35,6 +35,7 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/staging/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        spark._staged = [*staged(spark), self.root]
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -47,9 +48,24 @@ class Staging:
         return self.spark.read.schema(like.schema).parquet(self.paths[name])
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.paths.pop(name))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(spark: SparkSession) -> list[str]:
+    """Folders of the session's staged tables. A result that is still to be read may need them."""
+    return getattr(spark, "_staged", [])
+
+
+def sweep(spark: SparkSession, folders: list[str]) -> None:
+    """Removes staged tables, once what was made of them is written."""
+    for folder in folders:
+        _delete(spark, folder)
+    spark._staged = [x for x in staged(spark) if x not in folders]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

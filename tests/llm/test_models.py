@@ -296,3 +296,21 @@ def test_pipeline(spark):
     assert kept <= {r[0] for r in docs.select("doc_id").collect()}
     copies = corpus_pipeline.drop_copies(spark, docs, SF)
     assert copies.columns == docs.columns and copies.count() == copies.select("text").distinct().count()
+
+
+def test_pipeline_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "src1", 0, "s", True, 1) for i, t, _ in near_rows(3)] + [(None, None, None, None, None, "s", None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, kept boolean, row_id int"
+    docs = spark.createDataFrame(rows, names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    squeezed = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    once = corpus_pipeline.drop_copies(spark, docs, SF).collect()
+    assert sorted(squeezed(r["text"]) for r in once) == sorted({squeezed(r[1]) for r in rows})
+    apart = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    want = brute_jaccard([(i, r[1]) for i, r in enumerate(rows)], 5, 80)
+    assert len(apart) == len({c for (_, n, c, _) in want if n}) + sum(k for (_, n, _, _), k in want.items() if not n)
+    assert corpus_pipeline.mix_sources(spark, docs, SF).count() > 0
