@@ -127,3 +127,9 @@ def test_quality(spark):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
     assert quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_plans_are_native(spark):
+    for name in ("op7_sharding", "op8_quality_rules"):
+        plan = q.queries()[name](spark, ORACLE_SF)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
