@@ -5,7 +5,9 @@ of n shingles can only link with sets that share at least T of its shingles, and
 any n - T + 1 of them. The join
 
 1. turns texts into sets of 64-bit shingle hashes; texts of equal sets are one class;
-2. keeps the classes that share one of their n - T + 1 smallest hashes with another;
+2. keeps the classes that share enough of their smallest hashes with others: of the n - T + k
+   smallest of two sets that link, k are the same. With k of a tenth of the set, texts that
+   have but some common phrases end here;
 3. counts, among those, in how many sets each shingle is, and drops classes of which too many
    shingles are in no other set; passages that many texts share end here;
 4. brings together classes that are connected by a shared one of their n - T + 1 rarest
@@ -33,6 +35,8 @@ from fieldrollup.llm.components import components
 from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, mix, slices, text_bytes, word_hashes
 
 WORDS, PERCENT = 4, 85
+#: Hashes beyond the least prefix that are looked at in step 2, of a hundred of a set.
+EXTRA = 10
 #: Hashes that one key range should hold, hashes of a packed chunk, classes of a search block.
 RANGE_HASHES, CHUNK_HASHES, BLOCK = 1_500_000, 1_000_000, 2048
 #: A probe costs about as much as this many merged postings.
@@ -50,6 +54,18 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
+def extra_prefix(n):
+    return n * EXTRA // 100
+
+
+def least_shared(percent: int = PERCENT) -> str:
+    """Of the extended prefix of a set of n, so many are shared if there is a link at all, in SQL.
+
+    The smaller of two sets that link decides, and has at least percent of n.
+    """
+    return f"1 + ((n * {percent} + 99) div 100) * {EXTRA} div 100"
+
+
 def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the distinct shingles of each text, sorted; sizes of the sets), from word hashes."""
     n_docs = len(counts)
@@ -95,7 +111,7 @@ def _sketch(k: int, percent: int):
             for a, b, sets, sizes in _sets_of(batch.column(1), k):
                 s1, s2 = _signatures(sets, sizes)
                 first = np.cumsum(sizes) - sizes
-                blocks = [sets[f : f + prefix_length(int(n), percent)].tobytes() if n else b"" for f, n in zip(first, sizes, strict=True)]
+                blocks = [sets[f : f + prefix_length(n, percent) + extra_prefix(n)].tobytes() if n else b"" for f, n in zip(first.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(blocks, pa.binary())], ["doc_id", "n", "s1", "s2", "prefix"]
                 )
@@ -103,6 +119,65 @@ def _sketch(k: int, percent: int):
     return run
 
 
+def _post_prefixes(n_ranges: int):
+    """Rows (s1, prefix) as blocks (keys, numbers of sets, s1 of the sets) by key range."""
+
+    def flush(owners: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        names = np.array(owners, dtype=np.int64).view(np.uint64)
+        edge = buckets_of(keys, n_ranges)
+        rows = []
+        for i in np.flatnonzero(np.diff(edge)):
+            used, at = np.unique(owner[edge[i] : edge[i + 1]], return_inverse=True)
+            rows.append({"bucket": int(i), "block": compress(keys[edge[i] : edge[i + 1]], at.astype(np.int32), names[used])})
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, sets, held = [], [], 0
+        for batch in batches:
+            for name, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                owners.append(name)
+                sets.append(np.frombuffer(block.as_py(), np.uint64))
+                held += len(sets[-1])
+                if held >= CHUNK_HASHES:
+                    yield flush(owners, sets)
+                    owners, sets, held = [], [], 0
+        if held:
+            yield flush(owners, sets)
+
+    return run
+
+
+def _shared_counts(n_parts: int):
+    """How many keys of a range each set shares with others, as blocks (s1, count) by range of s1."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks = [decompress(b.as_py()) for b in group.column("block")]
+        keys, owner = np.concatenate([b[0] for b in blocks]), np.concatenate([b[2][b[1]] for b in blocks])
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        new = np.ones(len(keys), bool)  # copies of a set count once
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[new], owner[new]
+        names, count = np.unique(owner[_shared(keys)], return_counts=True)
+        part = ((names >> U(32)) * U(n_parts)) >> U(32)
+        begins, ends = _runs(part.astype(np.int64))
+        found = [compress(names[a:b], count[a:b].astype(np.int32)) for a, b in zip(begins, ends, strict=True)]
+        return pa.table({"part": pa.array(part[begins].astype(np.int64)), "block": pa.array(found, pa.binary())})
+
+    return run
+
+
+def _sum_counts(group: pa.Table) -> pa.Table:
+    blocks = [decompress(b.as_py()) for b in group.column("block")]
+    names, at = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([b[1] for b in blocks]))
+    return pa.table({"s1": names.view(np.int64), "shared": total.astype(np.int64)})
+
+
 def _post(n_ranges: int, column: str, packed: bool):
     """Rows (cid, hashes) as blocks (keys, cids) by key range, one set of blocks a chunk. ``chunk``: first cid."""
 
@@ -156,19 +231,6 @@ def _runs(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.append(begins[1:], len(part))[: len(begins)]
 
 
-def _shared_cids(group: pa.Table) -> pa.Table:
-    """The classes with a shared key, as one block for each part of the class table."""
-    keys, cids = _postings(group)
-    found = np.unique(cids[_shared(keys)])
-    part = found >> 33
-    edges, ends = _runs(part)
-    return pa.table({"part": pa.array(part[edges], pa.int64()), "block": pa.array([compress(found[a:b]) for a, b in zip(edges, ends, strict=True)], pa.binary())})
-
-
-def _distinct_cids(group: pa.Table) -> pa.Table:
-    return pa.table({"cid": np.unique(np.concatenate([decompress(b.as_py())[0] for b in group.column("block")]))})
-
-
 def _full_sets(k: int):
     """(cid, n, s1, s2, text) to (cid, n, packed set) where the text is one of that class."""
 
@@ -357,19 +419,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     stage = Staging(spark, "jaccard")
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    docs = stage.write(rows.mapInArrow(_sketch(words, percent), "doc_id long, n long, s1 long, s2 long, prefix binary"), "docs")
-    same = docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
+    sketched = stage.write(rows.mapInArrow(_sketch(words, percent), "doc_id long, n long, s1 long, s2 long, prefix binary"), "sketched")
+    docs = stage.write(sketched.select("doc_id", "n", "s1", "s2"), "docs")
+    same = docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     classes = stage.write(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    total = classes.agg(F.sum("n"), F.sum(F.length("prefix"))).first()
+    total = sketched.agg(F.count(F.lit(1)), F.sum(F.length("prefix"))).first()
     n_ranges = max(4, math.ceil((total[1] or 0) / 8 / RANGE_HASHES))
+    posted = sketched.where("n > 0").select("s1", "prefix").mapInArrow(_post_prefixes(n_ranges), "bucket int, block binary")
+    shared = posted.groupBy("bucket").applyInArrow(_shared_counts(max(4, math.ceil(total[0] / 50_000))), "part long, block binary")
+    shared = shared.groupBy("part").applyInArrow(_sum_counts, "s1 long, shared long").withColumnRenamed("s1", "_s1")
+    likely = classes.join(shared, F.col("s1") == F.col("_s1")).where(f"shared >= {least_shared(percent)}")
+    chosen = stage.write(likely.select("cid", "n", "s1", "s2", F.col("least").alias("_id")), "likely")
+    stage.drop("sketched")
     blocks = "bucket int, chunk long, block binary"
-    posted = classes.select("cid", "prefix").mapInArrow(_post(n_ranges, "prefix", False), blocks)
-    shared = posted.groupBy("bucket").applyInArrow(_shared_cids, "part long, block binary").groupBy("part").applyInArrow(_distinct_cids, "cid long")
-    likely = stage.write(shared.select(F.col("cid").alias("_cid")), "likely")
-    chosen = classes.join(likely, F.col("cid") == F.col("_cid"), "left_semi").select("cid", "n", "s1", "s2", F.col("least").alias("_id"))
-    texts = chosen.join(rows, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "n", "s1", "s2", "text")
+    texts = rows.join(chosen.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "n", "s1", "s2", "text")
     sets = stage.write(texts.mapInArrow(_full_sets(words), "cid long, n long, block binary"), "sets")
-    if sets.count() != likely.count():  # ids that several rows bear
+    if sets.count() != chosen.count():  # ids that several rows bear
         sets = stage.write(sets.dropDuplicates(["cid"]), "distinct_sets")
     n_likely = sets.agg(F.sum("n")).first()[0] or 0
     n_ranges = max(4, math.ceil(n_likely / RANGE_HASHES))
@@ -383,7 +448,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     work = sets.join(together, F.col("cid") == F.col("_node")).drop("_node")
     work = work.join(classes.select(F.col("cid").alias("_cid"), "copies"), F.col("cid") == F.col("_cid")).drop("_cid")
     found = stage.write(_tasks(work, together).groupBy("task").applyInArrow(_links(percent), "cid long, root long, links long"), "found")
-    linked = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), stage, "linked")
+    if together.groupBy("comp").count().where(F.col("count") > BLOCK).isEmpty():  # no component was searched in parts
+        linked = found.select(F.col("cid").alias("node"), "root")
+    else:
+        linked = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), stage, "linked")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     member = classes.join(links.withColumnRenamed("cid", "_cid"), F.col("cid") == F.col("_cid"), "left").drop("_cid")
     member = member.join(linked, F.col("cid") == F.col("node"), "left").select("n", "s1", "s2", "copies", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
