@@ -107,12 +107,11 @@ class Model:
         return np.add.reduceat(value.astype(np.float64), first) if len(first) else np.zeros(0)
 
 
-def _shared_backoff(types: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _shared_backoff(grams: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Interpolated Kneser-Ney probabilities of the lower orders, from continuation counts of both classes.
 
-    types: distinct six-grams, of both classes together. Returns by order (grams, p).
+    grams: distinct six-grams, of both classes together. Returns by order (grams, p).
     """
-    grams = types[0]
     levels = {}
     for order in range(ORDER - 1, 0, -1):
         # a gram of this order continues as many contexts as there are distinct longer grams over it
@@ -138,24 +137,31 @@ def _shared_backoff(types: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.n
     return out
 
 
-def fit(tokens: list[bytes], toxic: np.ndarray, counts: np.ndarray) -> Model:
-    """The two models from (word, class, count) triples, as tables of log ratios.
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, toxic, n) to rows (gram, in toxic, in ordinary) of the words, lower-cased in A-Z."""
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    for batch in batches:
+        tokens = [w.encode().translate(lower) for w in batch.column(0).to_pylist()]
+        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        gram, _ = word_grams(np.frombuffer(b"".join(tokens) + b" ", np.uint8), np.cumsum(lengths) - lengths, lengths)
+        weight = np.repeat(batch.column(2).to_numpy(), lengths + 1)
+        of_toxic = np.repeat(batch.column(1).to_numpy() == 1, lengths + 1)
+        types, at = np.unique(gram, return_inverse=True)
+        both = [np.bincount(at, weights=weight * chosen, minlength=len(types)).astype(np.int64) for chosen in (of_toxic, ~of_toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(types.view(np.int64)), *map(pa.array, both)], ["gram", "in_toxic", "in_ordinary"])
+
+
+def fit(types: np.ndarray, in_toxic: np.ndarray, in_ordinary: np.ndarray) -> Model:
+    """The two models from sorted six-grams and their counts, as tables of log ratios.
 
     Where neither class has seen a six-gram, the shared backoff probability cancels out, and
     the ratio is that of the two classes' backoff weights.
     """
-    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-    data = np.frombuffer(b"".join(tokens) + b" ", np.uint8)
-    gram, first = word_grams(data, np.cumsum(lengths) - lengths, lengths)
-    weight = np.repeat(counts.astype(np.float64), lengths + 1)
-    of_toxic = np.repeat(toxic.astype(bool), lengths + 1)
-    types, at = np.unique(gram, return_inverse=True)
-    lower, p_lower = _shared_backoff([types])[ORDER - 1]
+    lower, p_lower = _shared_backoff(types)[ORDER - 1]
     shared = p_lower[np.searchsorted(lower, types & U((1 << (8 * (ORDER - 1))) - 1))]
     context, back = np.unique(types >> U(8), return_inverse=True)
     log_p, log_backoff = [], []
-    for chosen in (of_toxic, ~of_toxic):
-        count = np.bincount(at[chosen], weights=weight[chosen], minlength=len(types))
+    for count in (in_toxic, in_ordinary):
         total = np.bincount(back, weights=count, minlength=len(context))
         kinds = np.bincount(back, weights=count > 0, minlength=len(context))
         backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
@@ -265,21 +271,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # at most 2 * TRAIN_DOCS + FIT_DOCS ids
     taught = texts.join(F.broadcast(sample.select(F.col("doc_id").alias("_id"), "toxic", "part")), F.col("doc_id") == F.col("_id")).select("text", "toxic", "part")
     lowered = words(F.col("text"))
-    counted = taught.where("part < 2").select(F.explode(lowered).alias("word"), "toxic").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counted = taught.where("part < 2").select(F.explode(lowered).alias("word"), "toxic").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    grams = counted.mapInArrow(count_grams, "gram long, in_toxic long, in_ordinary long").groupBy("gram")
+    grams = grams.agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_ordinary").alias("in_ordinary")).toArrow()
+    types, in_toxic, in_ordinary = (grams.column(c).to_numpy() for c in ("gram", "in_toxic", "in_ordinary"))
     held = (id_part(F.col(f"`{id_col}`")) == 2).alias("held_out")
     names = ["doc_id", *["row"] * carry]
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *whole, held, text_or_empty(text_col).alias("text"))
-    if counted["toxic"].nunique() < 2:
+    if not in_toxic.sum() or not in_ordinary.sum():
         return rows.select(*names, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-    model = fit([w.encode().translate(lower) for w in counted["word"]], counted["toxic"].to_numpy(), counted["n"].to_numpy())
+    order = np.argsort(types)  # grams are below 2**48
+    model = fit(types[order].view(np.uint64), in_toxic[order].astype(np.float64), in_ordinary[order].astype(np.float64))
+    del grams, types, in_toxic, in_ordinary
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
-    seen = taught.where("part = 3").mapInArrow(_mapper(shared, None, ["toxic"]), "toxic int, peak double, mean double, size double").toPandas()
-    if seen["toxic"].nunique() < 2:
+    seen = taught.where("part = 3").mapInArrow(_mapper(shared, None, ["toxic"]), "toxic int, peak double, mean double, size double").collect()
+    x, y = np.array([tuple(r)[1:] for r in seen]).reshape(-1, 3), np.array([r["toxic"] for r in seen])
+    if len(set(y.tolist())) < 2:
         curve = (np.zeros(3), np.ones(3), np.array([1.0, 0.0, 0.0, -1.0]))
     else:
-        curve = fit_curve(seen[["peak", "mean", "size"]].to_numpy(), seen["toxic"].to_numpy())
+        curve = fit_curve(x, y)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names, "held_out").schema) + ", score double"
     scored = rows.mapInArrow(_mapper(shared, curve, [*names, "held_out"]), schema)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
