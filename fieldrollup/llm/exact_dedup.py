@@ -84,7 +84,8 @@ def _result(alone: DataFrame, closed: DataFrame) -> DataFrame:
     )
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("smallest"), (-F.col("row")).alias("first")))
     groups = closed.groupBy(F.col("round").alias("_round"), F.col("gid").alias("_gid")).agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    grouped = closed.join(groups, (F.col("round") == F.col("_round")) & (F.col("gid") == F.col("_gid"))).select(
+    # a merge join, which AQE splits where a group is hot
+    grouped = closed.join(groups.hint("merge"), (F.col("round") == F.col("_round")) & (F.col("gid") == F.col("_gid"))).select(
         "doc_id", (-F.col("best.smallest")).alias("keep_id"), "group_size",
         (F.col("row") == -F.col("best.first")).alias("kept"), "text_sha256",
     )

@@ -38,7 +38,7 @@ WORDS, PERCENT = 4, 85
 #: Hashes beyond the least prefix that are looked at in step 2, of a hundred of a set.
 EXTRA = 10
 #: Hashes that one key range should hold, hashes of a packed chunk, classes of a search block.
-RANGE_HASHES, CHUNK_HASHES, BLOCK = 1_500_000, 1_000_000, 2048
+RANGE_HASHES, CHUNK_HASHES, BLOCK = 1_500_000, 1_000_000, 1024
 #: A probe costs about as much as this many merged postings.
 PROBE_COST = 16
 _JOIN = U(0xA24BAED4963EE407)
