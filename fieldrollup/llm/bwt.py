@@ -27,11 +27,12 @@ class Shard:
 
 def stable_order(code: np.ndarray) -> np.ndarray:
     """Stable argsort of small non-negative codes: one sort of (code, place) words."""
-    n = len(code)
+    n = len(code)  # below 2**31: a merge is one bounded task
     bits = max(1, int(n - 1).bit_length()) if n else 1
     word = (code.astype(np.uint64) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
     word.sort()
-    return (word & np.uint64((1 << bits) - 1)).astype(np.int64)
+    word &= np.uint64((1 << bits) - 1)
+    return word.astype(np.int32)
 
 
 def transform(code: np.ndarray, after: np.ndarray, longest: int) -> Shard:
@@ -41,10 +42,10 @@ def transform(code: np.ndarray, after: np.ndarray, longest: int) -> Shard:
     pass for each symbol from the last to the first; equal suffixes keep the order of rows.
     """
     n = len(code)
-    ahead = [np.arange(n)]
+    ahead = [np.arange(n, dtype=np.int32)]
     for _ in range(longest - 1):
         ahead.append(after[ahead[-1]])
-    order = np.arange(n)
+    order = np.arange(n, dtype=np.int32)
     for k in range(longest - 1, -1, -1):
         order = order[stable_order(code[ahead[k][order]])]
     before = np.zeros(n, code.dtype)
@@ -52,8 +53,8 @@ def transform(code: np.ndarray, after: np.ndarray, longest: int) -> Shard:
     before[after[inner]] = code[inner]
     # a sentinel is entered from the last symbol of its own string; the first symbol of a string follows a sentinel
     before = before[order]
-    lf = np.empty(n, np.int64)
-    lf[stable_order(before)] = np.arange(n)
+    lf = np.empty(n, np.int32)
+    lf[stable_order(before)] = np.arange(n, dtype=np.int32)
     return Shard(order, before, lf)
 
 
@@ -64,12 +65,12 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     for the first ``rounds`` symbols.
     """
     sizes = [len(s.rows) for s in shards]
-    base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    base = np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
     before = np.concatenate([s.before for s in shards])
     lf = np.concatenate([s.lf for s in shards]) + base
-    interleave = np.arange(len(before))
-    block = np.zeros(len(before), np.int64)
-    prefix = np.full(len(before), rounds, np.int64)
+    interleave = np.arange(len(before), dtype=np.int32)
+    block = np.zeros(len(before), np.int32)
+    prefix = np.full(len(before), rounds, np.int32)
     for k in range(rounds):
         symbol = before[interleave]
         order = stable_order(symbol)
@@ -77,7 +78,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
         parts = np.ones(len(order), bool)
         parts[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         interleave = lf[interleave[order]]
-        block = np.cumsum(parts)
+        block = np.cumsum(parts, dtype=np.int32)
         # blocks only ever split, so that a parting that is new in this pass has k symbols in common
         prefix[parts & (prefix == rounds)] = k
     return interleave, prefix

@@ -126,6 +126,7 @@ def make_requests(n_ranges: int):
                 rows = [
                     {"chunk": key, "bucket": i, "block": compress(words[we[i] : we[i + 1]], w_count[we[i] : we[i + 1]], pairs[pe[i] : pe[i + 1]], p_count[pe[i] : pe[i + 1]])}
                     for i in range(n_ranges)
+                    if we[i] < we[i + 1] or pe[i] < pe[i + 1]
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary())]))
 

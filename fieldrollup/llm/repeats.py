@@ -7,8 +7,10 @@ all suffixes of a corpus isn't feasible, and isn't needed:
    hash (the leftmost of equals). Equal windows have equal anchors at equal places, so
    that windows only have to be compared within an anchor. Consecutive windows of one anchor
    occurrence form a segment. Anchors that occur once are done with; they are the most.
-   Segments whose whole text occurs twice are repeated as a whole.
-2. For anchors that have different segments, the segments' texts go to the task of the
+   Segments whose whole text occurs twice are repeated as a whole. A window holds the
+   LENGTH / 2 bytes before its anchor or those from it on, so that a segment of which neither
+   is in another segment of the anchor is done with, too: common phrases end here.
+2. For anchors that have different segments left, their texts go to the task of the
    anchor's key range. What one chunk of documents sends is a shard. Its transform is built,
    over symbols of STEP bytes at every byte place (hashes of the bytes, so that a suffix
    is read STEP bytes at a time), and the shards' transforms are merged by interleave
@@ -39,7 +41,7 @@ LENGTH, GRAM, STEP = 400, 32, 100
 #: Text bytes that are looked at at once; places within them and the hash share 64 bits.
 PIECE, PLACE_BITS = 1 << 21, 22
 #: Text bytes of a chunk, anchors of a key range, segment bytes of a shard and of a merge, text bytes of a final range.
-CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 12 << 20, 400_000, 4 << 20, 1 << 20, 8 << 20
+CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 12 << 20, 400_000, 4 << 20, 3 << 18, 8 << 20
 WHOLE, OPEN, SHOWN = 1, 2, 3
 
 
@@ -76,11 +78,14 @@ def least_places(value: np.ndarray, window: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor hash, hash of the bytes) of the segments of texts
-    ``data[bounds[i]:bounds[i + 1]]``; windows by their place in data."""
-    none = np.zeros(0, np.int64)
+    """(text, first window, windows, anchor hash, hash of the bytes, of the half window before the
+    anchor, of that from it on) of the segments of texts ``data[bounds[i]:bounds[i + 1]]``.
+
+    Windows are given by their place in data; a half is 0 where no window of the segment has it whole.
+    """
+    none = (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 4)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none
     hashes = gram_hashes(data, gram)
     value = (hashes & ~U((1 << PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64)
     anchor = (least_places(value, length - gram + 1) & U((1 << PLACE_BITS) - 1)).astype(np.int64)
@@ -89,7 +94,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     fits = np.arange(len(anchor)) + length <= bounds[1:][owner]
     place = np.flatnonzero(fits)
     if not len(place):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none
     new = np.ones(len(place), bool)
     new[1:] = (anchor[place[1:]] != anchor[place[:-1]]) | (owner[place[1:]] != owner[place[:-1]])
     first = place[new]
@@ -101,7 +106,13 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     total = np.concatenate([[U(0)], np.cumsum(letters[data] * power, dtype=np.uint64)])
     stop = first + windows - 1 + length
     own = (total[stop] - total[first]) * _inverse_powers(PIECE)[first]
-    return owner[first], first, windows, hashes[anchor[first]], mix(own + windows.astype(np.uint64) * U(0x632BE59BD9B4E019))
+    own = mix(own + windows.astype(np.uint64) * U(0x632BE59BD9B4E019))
+    at, half = anchor[first], length // 2
+    halves = gram_hashes(data, half) | U(1)
+    ahead = first + windows - 1
+    left = np.where(at - first >= half, halves[np.clip(at - half, 0, len(halves) - 1)], U(0))
+    right = np.where(ahead + length - at >= half, halves[np.minimum(at, len(halves) - 1)], U(0))
+    return owner[first], first, windows, hashes[at], own, left, right
 
 
 _INVERSE: dict[int, np.ndarray] = {}
@@ -165,14 +176,14 @@ def _occurrences(length: int, gram: int, n_ranges: int, n_docs: int):
     """
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        k1, k2, first, windows, anchor, own = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        order = np.lexsort((first, k2, k1, own, anchor))
-        k1, k2, first, windows, anchor, own = (x[order] for x in (k1, k2, first, windows, anchor, own))
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(8)]
+        order = np.lexsort((columns[2], columns[1], columns[0], columns[5], columns[4]))
+        k1, k2, first, windows, anchor, own, left, right = (x[order] for x in columns)
         keep, times = _tally(k1, k2, first, anchor, own, np.ones(len(k1), np.int64))
         whole = times > 1
         rows = [(at, 1, b) for at, b in _rows(_range_of(k1[whole], n_docs), [x[whole] for x in (k1, k2, first, windows, np.full(len(k1), WHOLE, np.uint8), anchor)])] if whole.any() else []
         times = np.minimum(times, 2).astype(np.uint8)
-        return _blocks([(at, 0, b) for at, b in _rows(_range_of(anchor[keep], n_ranges), [x[keep] for x in (k1, k2, first, windows, anchor, own, times)])] + rows)
+        return _blocks([(at, 0, b) for at, b in _rows(_range_of(anchor[keep], n_ranges), [x[keep] for x in (k1, k2, first, windows, anchor, own, left, right, times)])] + rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -180,9 +191,9 @@ def _occurrences(length: int, gram: int, n_ranges: int, n_docs: int):
             raw, offsets = text_bytes(batch.column(0))
             sha = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.dtype("<u8")).reshape(-1, 2)
             for at, bounds, before in pieces(offsets, length):
-                doc, first, windows, anchor, own = segments(raw[bounds[0] : bounds[-1]], bounds - bounds[0], length, gram)
+                doc, first, *found = segments(raw[bounds[0] : bounds[-1]], bounds - bounds[0], length, gram)
                 if len(doc):
-                    parts.append((sha[at + doc, 0], sha[at + doc, 1], first - (bounds[:-1] - bounds[0])[doc] + before, windows, anchor, own))
+                    parts.append((sha[at + doc, 0], sha[at + doc, 1], first - (bounds[:-1] - bounds[0])[doc] + before, *found))
                 held += int(bounds[-1] - bounds[0])
                 if held >= CHUNK_BYTES and parts:
                     yield flush(parts)
@@ -211,22 +222,32 @@ def _tally(k1, k2, first, anchor, own, times) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~same_text), total[group]
 
 
+def _twice(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which values other than 0 occur twice or more in their group."""
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    same = np.zeros(len(g) + 1, bool)
+    same[1:-1] = (g[1:] == g[:-1]) & (v[1:] == v[:-1]) & (v[1:] != 0)
+    out = np.zeros(len(g), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
 def _verdicts(n_docs: int):
     """Occurrences of a range of anchors to verdicts by range of documents."""
 
     def run(group: pa.Table) -> pa.Table:
         blocks = [decompress(b.as_py()) for b in group.column("block")]
-        k1, k2, first, windows, anchor, own, times = (np.concatenate([b[i] for b in blocks]) for i in range(7))
-        order = np.lexsort((first, k2, k1, own, anchor))
-        k1, k2, first, windows, anchor, own, times = (x[order] for x in (k1, k2, first, windows, anchor, own, times))
+        columns = [np.concatenate([b[i] for b in blocks]) for i in range(9)]
+        order = np.lexsort((columns[2], columns[1], columns[0], columns[5], columns[4]))
+        k1, k2, first, windows, anchor, own, left, right, times = (x[order] for x in columns)
         keep, total = _tally(k1, k2, first, anchor, own, times.astype(np.int64))
-        lead = np.zeros(len(anchor), bool)
-        lead[keep] = True
         anchors, back = np.unique(anchor, return_inverse=True)
-        texts = np.bincount(back[keep], minlength=len(anchors))
-        single = np.bincount(back[keep], weights=total[keep] == 1, minlength=len(anchors))
-        compared = ((texts > 1) & (single > 0))[back]
-        verdict = np.where(total > 1, np.where(lead & compared, SHOWN, WHOLE), np.where(lead & compared, OPEN, 0)).astype(np.uint8)
+        similar = np.zeros(len(anchor), bool)
+        similar[keep] = _twice(back[keep], left[keep]) | _twice(back[keep], right[keep])
+        single = np.bincount(back, weights=similar & (total == 1), minlength=len(anchors))
+        compared = similar & (single > 0)[back]
+        verdict = np.where(total > 1, np.where(compared, SHOWN, WHOLE), np.where(compared, OPEN, 0)).astype(np.uint8)
         told = verdict > 0
         rows = [(at, 1, b) for at, b in _rows(_range_of(k1[told], n_docs), [x[told] for x in (k1, k2, first, windows, verdict, anchor)])]
         return pa.Table.from_batches([_blocks(rows)])
@@ -299,18 +320,17 @@ def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], length: int, s
         where = np.repeat(begin, spots) + np.arange(int(spots.sum())) - np.repeat(np.cumsum(spots) - spots, spots)
         hashed.append(gram_hashes(data, step)[where])
         layout.append((windows, spots))
-    _, code = np.unique(np.concatenate(hashed), return_inverse=True)
+    code = np.unique(np.concatenate(hashed), return_inverse=True)[1].astype(np.int32)
     built, valid, at = [], [], 0
     for (windows, spots), own in zip(layout, hashed, strict=True):
         n = len(own)
         chains = np.minimum(spots, step)  # strings of a segment: one for each place modulo step
-        ends = n + np.arange(int(chains.sum()))
-        codes = np.concatenate([code[at : at + n] + 1, np.zeros(len(ends), np.int64)])
+        ends = np.arange(int(chains.sum()))
+        codes = np.concatenate([code[at : at + n] + 1, np.zeros(len(ends), np.int32)])
         at += n
-        first = np.cumsum(spots) - spots
-        inside = np.arange(n) - np.repeat(first, spots)
-        left = np.repeat(spots, spots) - inside
-        after = np.arange(len(codes))
+        inside = (np.arange(n) - np.repeat(np.cumsum(spots) - spots, spots)).astype(np.int32)
+        left = np.repeat(spots.astype(np.int32), spots) - inside
+        after = np.arange(len(codes), dtype=np.int32)
         after[:n] += step
         # the last symbol of a chain is followed by the chain's sentinel
         last = left <= step
