@@ -13,8 +13,9 @@ An entry holds, for a prefix, what is needed to extend it:
   piece of a prefix is the one that is compatible with the last piece of what precedes it.
 
 Words begin at runs of spaces. No piece holds a space mark after another character, so that
-no piece crosses the begin of a word; the reader checks that. Nothing is shuffled, and a
-worker's memory of known words is bounded.
+no piece crosses the begin of a word; the reader checks that. Line ends and tabs are words
+of their own where no longer piece holds them. Nothing is shuffled, and a worker's memory of
+known words is bounded.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a worker remembers at most, and text bytes that are handled at once.
 KNOWN_WORDS, SLICE_CHARS = 250_000, 4 << 20
-_WORD = re.compile(" +[^ ]*")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -105,7 +105,9 @@ class PieceModel:
         self.of_byte = {i: b for b, i in self.byte_ids.items()}
         self.bytes = [bytes([self.of_byte[i]]) if t == byte else p.replace(MARK, " ").encode() if t == normal else b"" for i, (p, _, t) in enumerate(pieces)]
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        self._fits: dict[tuple[int, int], bool] = {}
+        apart = "".join(c for c in "\t\n\x0b\x0c\r" if not any(c in p for p in self.ids if len(p) > 1))
+        self._word = re.compile(f" +[^ {apart}]*|[^ {apart}]+" + f"|[{apart}]" * bool(apart))
+        self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._text = {i: p for p, i in self.ids.items()}
 
@@ -146,18 +148,17 @@ class PieceModel:
             ok = self._whole[piece] = len(self.merge(self._text[piece])) == 1
         return ok
 
-    def _compatible(self, a: int, b: int) -> bool:
-        ok = self._fits.get((a, b))
-        if ok is None:
-            if len(self._fits) > 1 << 20:
-                self._fits.clear()
-            x, y = self._text[a], self._text[b]
-            ok = self._fits[a, b] = self.merge(x + y) == [x, y]
+    def _compatible(self, key: int) -> bool:
+        """Whether two pieces are what their concatenation is encoded as. key: both ids, 24 bits each."""
+        x, y = self._text[key >> 24], self._text[key & 0xFFFFFF]
+        if len(self._fits) > 1 << 20:
+            self._fits.clear()
+        ok = self._fits[key] = self.merge(x + y) == [x, y]
         return ok
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the sorted words: the depth-first walk."""
-        step = self._bpe_step if self.kind == "bpe" else self._unigram_step
+        fill = self._fill_bpe if self.kind == "bpe" else self._fill_unigram
         # by length of the prefix: its last piece (-1: a character that is no piece), where that begins, and the score
         last, start, score = [-2], [0], [0.0]
         path = ""
@@ -168,8 +169,7 @@ class PieceModel:
                     break
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :], score[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                step(word, i, last, start, score)
+            fill(word, shared + 1, last, start, score)
             path = word
             if self.kind == "bpe" and word.startswith(MARK + MARK):  # equal scores in runs of marks: by definition
                 yield list(chain.from_iterable([self.ids[p]] if p in self.ids else self.char_ids(p) for p in self.merge(word)))
@@ -180,52 +180,51 @@ class PieceModel:
                 i = start[i]
             yield list(chain.from_iterable(reversed(out)))
 
-    def _bpe_step(self, word: str, i: int, last: list, start: list, score: list) -> None:
-        ids = self.ids
-        if word[i - 1] not in ids:
-            last.append(-1)
-            start.append(i - 1)
-            score.append(0.0)
-            return
-        fits = self._fits
-        for j in range(max(0, i - self.longest), i):
-            piece = ids.get(word[j:i])
-            if piece is None:
+    def _fill_bpe(self, word: str, begin: int, last: list, start: list, score: list) -> None:
+        find, known, longest = self.ids.get, self._fits.get, self.longest
+        for i in range(begin, len(word) + 1):
+            if find(word[i - 1]) is None:
+                last.append(-1)
+                start.append(i - 1)
                 continue
-            previous = last[j]
-            if previous >= 0:
-                ok = fits.get((previous, piece))
-                ok = self._compatible(previous, piece) if ok is None else ok
+            for j in range(i - longest if i > longest else 0, i):
+                piece = find(word[j:i])
+                if piece is None:
+                    continue
+                previous = last[j]
+                if previous >= 0:
+                    key = previous << 24 | piece
+                    ok = known(key)
+                    if ok is None:
+                        ok = self._compatible(key)
+                else:
+                    ok = self._alone(piece)
+                if ok:
+                    last.append(piece)
+                    start.append(j)
+                    break
             else:
-                ok = self._alone(piece)
-            if ok:
-                last.append(piece)
-                start.append(j)
-                score.append(0.0)
-                return
-        raise AssertionError(f"no encoding for {word[:i]!r}")
-
-    def _unigram_step(self, word: str, i: int, last: list, start: list, score: list) -> None:
-        best, piece_of, at = -float("inf"), -1, i - 1
-        for j in range(max(0, i - self.longest), i):
-            piece = self.ids.get(word[j:i])
-            if piece is not None and score[j] + self.scores[piece] > best:
-                best, piece_of, at = score[j] + self.scores[piece], piece, j
-        if word[i - 1] not in self.ids and score[i - 1] + self.floor > best:
-            best, piece_of, at = score[i - 1] + self.floor, -1, i - 1
-        last.append(piece_of)
-        start.append(at)
-        score.append(best)
+                raise AssertionError(f"no encoding for {word[:i]!r}")
+
+    def _fill_unigram(self, word: str, begin: int, last: list, start: list, score: list) -> None:
+        for i in range(begin, len(word) + 1):
+            best, piece_of, at = -float("inf"), -1, i - 1
+            for j in range(max(0, i - self.longest), i):
+                piece = self.ids.get(word[j:i])
+                if piece is not None and score[j] + self.scores[piece] > best:
+                    best, piece_of, at = score[j] + self.scores[piece], piece, j
+            if word[i - 1] not in self.ids and score[i - 1] + self.floor > best:
+                best, piece_of, at = score[i - 1] + self.floor, -1, i - 1
+            last.append(piece_of)
+            start.append(at)
+            score.append(best)
 
     def split(self, text: str) -> list[str]:
         """A text's words, spaces still plain; empty for an empty text."""
         if not text:
             return []
         text = text.replace(MARK, " ")
-        if self.prefix:
-            return _WORD.findall(" " + text)
-        head = re.match("[^ ]*", text).group()
-        return ([head] if head else []) + _WORD.findall(text)
+        return self._word.findall(" " + text if self.prefix else text)
 
     def encode(self, text: str) -> list[int]:
         words = [w.replace(" ", MARK) for w in self.split(text)]

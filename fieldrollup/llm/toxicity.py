@@ -28,7 +28,7 @@ TRAIN_DOCS, FIT_DOCS = 2000, 4000
 ORDER = 6
 DISCOUNT = 0.75
 #: Words of the run that is looked at beside the whole text.
-RUN = 3
+RUN = 2
 SCORE_SLICE = 6 << 20
 LABEL_PARTS = 4
 THRESHOLD = 0.3

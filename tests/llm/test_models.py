@@ -314,3 +314,14 @@ def test_pipeline_odd_rows(spark):
     want = brute_jaccard([(i, r[1]) for i, r in enumerate(rows)], 5, 80)
     assert len(apart) == len({c for (_, n, c, _) in want if n}) + sum(k for (_, n, _, _), k in want.items() if not n)
     assert corpus_pipeline.mix_sources(spark, docs, SF).count() > 0
+
+
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r["score"], labels[r["doc_id"]]) for r in queries.op4_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in labels]
+    bad, good = sorted(s for s, t in rows if t), sorted(s for s, t in rows if not t)
+    assert len(bad) > 50
+    area = sum(np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")) / 2 / len(bad) / len(good)
+    assert area > 0.9
+    assert np.mean(np.array(good) >= toxicity.THRESHOLD) < 0.05
