@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -106,7 +107,7 @@ class PieceModel:
         self.bytes = [bytes([self.of_byte[i]]) if t == byte else p.replace(MARK, " ").encode() if t == normal else b"" for i, (p, _, t) in enumerate(pieces)]
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         apart = "".join(c for c in "\t\n\x0b\x0c\r" if not any(c in p for p in self.ids if len(p) > 1))
-        self._word = re.compile(f" +[^ {apart}]*|[^ {apart}]+" + f"|[{apart}]" * bool(apart))
+        self._word = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + f"|[{apart}]" * bool(apart))
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._text = {i: p for p, i in self.ids.items()}
@@ -163,11 +164,9 @@ class PieceModel:
         last, start, score = [-2], [0], [0.0]
         path = ""
         for word in words:
-            shared = 0
-            for a, b in zip(path, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
+            shared = min(len(path), len(word))
+            while not word.startswith(path[:shared]):
+                shared -= 1
             del last[shared + 1 :], start[shared + 1 :], score[shared + 1 :]
             fill(word, shared + 1, last, start, score)
             path = word
@@ -176,17 +175,18 @@ class PieceModel:
                 continue
             out, i = [], len(word)
             while i:
-                out.append([last[i]] if last[i] >= 0 else self.char_ids(word[i - 1]))
+                piece = last[i]
+                if piece >= 0:
+                    out.append(piece)
+                else:
+                    out.extend(reversed(self.char_ids(word[i - 1])))
                 i = start[i]
-            yield list(chain.from_iterable(reversed(out)))
+            out.reverse()
+            yield out
 
     def _fill_bpe(self, word: str, begin: int, last: list, start: list, score: list) -> None:
         find, known, longest = self.ids.get, self._fits.get, self.longest
         for i in range(begin, len(word) + 1):
-            if find(word[i - 1]) is None:
-                last.append(-1)
-                start.append(i - 1)
-                continue
             for j in range(i - longest if i > longest else 0, i):
                 piece = find(word[j:i])
                 if piece is None:
@@ -203,8 +203,11 @@ class PieceModel:
                     last.append(piece)
                     start.append(j)
                     break
-            else:
-                raise AssertionError(f"no encoding for {word[:i]!r}")
+            else:  # no piece ends here: a character that is none
+                if find(word[i - 1]) is not None:
+                    raise AssertionError(f"no encoding for {word[:i]!r}")
+                last.append(-1)
+                start.append(i - 1)
 
     def _fill_unigram(self, word: str, begin: int, last: list, start: list, score: list) -> None:
         for i in range(begin, len(word) + 1):
@@ -220,14 +223,13 @@ class PieceModel:
             score.append(best)
 
     def split(self, text: str) -> list[str]:
-        """A text's words, spaces still plain; empty for an empty text."""
+        """A text's marked words; none for an empty text."""
         if not text:
             return []
-        text = text.replace(MARK, " ")
-        return self._word.findall(" " + text if self.prefix else text)
+        return self._word.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
 
     def encode(self, text: str) -> list[int]:
-        words = [w.replace(" ", MARK) for w in self.split(text)]
+        words = self.split(text)
         known = dict(zip(sorted(set(words)), self.encode_sorted(sorted(set(words))), strict=True))
         return list(chain.from_iterable(known[w] for w in words))
 
@@ -251,20 +253,27 @@ class WordBook:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.lengths: list[int] = []
-        self.flat: list[list[int]] = []
+        self.lengths, self.flat = array("i"), array("i")
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > KNOWN_WORDS:
             self.clear()
-        new = sorted(x.replace(" ", MARK) for x in set(words).difference(self.place))
+        new = sorted(set(words).difference(self.place))
         for word, ids in zip(new, self.model.encode_sorted(new), strict=True):
-            self.place[word.replace(MARK, " ")] = len(self.lengths)
+            self.place[word] = len(self.lengths)
             self.lengths.append(len(ids))
             if not self.counts_only:
-                self.flat.append(ids)
+                self.flat.extend(ids)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after another, ids before each word and of all)."""
+        lengths = np.frombuffer(self.lengths, np.int32).astype(np.int64) if len(self.lengths) else np.zeros(0, np.int64)
+        begin, own = np.cumsum(lengths) - lengths, lengths[place]
+        edge = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat(begin[place] - edge[:-1], own) + np.arange(edge[-1])
+        return np.array(self.flat, dtype=np.int32)[at], edge
+
 
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     """Row ranges with their texts, about SLICE_CHARS each."""
@@ -288,14 +297,11 @@ def _encoder(model):
             for a, b, texts in _batches(batch):
                 words = [own.split(t) for t in texts]
                 place = book.places(list(chain.from_iterable(words)))
-                edge = np.cumsum([0, *map(len, words)])
-                ids, exact = [], []
-                for k, text in enumerate(texts):
-                    one = np.fromiter(chain.from_iterable(map(book.flat.__getitem__, place[edge[k] : edge[k + 1]].tolist())), np.int32)
-                    ids.append(one)
-                    exact.append(own.decode(one.tolist()) == text.replace(MARK, " "))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                ids, before = book.gather(place)
+                ends = before[np.cumsum([0, *map(len, words)])]
+                flat = ids.tolist()
+                exact = [own.decode(flat[i:j]) == text.replace(MARK, " ") for i, j, text in zip(ends[:-1].tolist(), ends[1:].tolist(), texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(exact)], ["doc_id", "n_pieces", "piece_ids", "exact"])
 
     return run
@@ -320,7 +326,7 @@ def _counter(model):
                 words = [own.split(t) for t in texts]
                 place = book.places(list(chain.from_iterable(words)))
                 n_words = np.array([len(w) for w in words], dtype=np.int64)
-                total = np.concatenate([[0], np.cumsum(np.array(book.lengths, dtype=np.int64)[place])])
+                total = np.concatenate([[0], np.cumsum(np.array(book.lengths, dtype=np.int64)[place] if len(place) else place)])
                 ends = np.cumsum(n_words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_words), pa.array(total[ends] - total[ends - n_words])], ["doc_id", "n_words", "n_tokens"])
 
