@@ -8,10 +8,10 @@ all suffixes of a corpus isn't feasible, and isn't needed:
    that windows only have to be compared within an anchor. Consecutive windows of one anchor
    occurrence form a segment. Anchors that occur once are done with; they are the most.
    Segments whose whole text occurs twice are repeated as a whole. A window holds the
-   LENGTH / 2 bytes before its anchor or those from it on, so that a segment of which neither
-   is in another segment of the anchor is done with, too: common phrases end here.
-2. For anchors that have different segments left, their texts go to the task of the
-   anchor's key range. What one chunk of documents sends is a shard. Its transform is built,
+   LENGTH / 2 bytes before its anchor or those from it on, so that the windows of a segment
+   only have to be compared with those that share that half: common phrases end here.
+2. For halves that different segments share, the texts of those windows go to the task of the
+   half's key range. What one chunk of documents sends is a shard. Its transform is built,
    over symbols of STEP bytes at every byte place (hashes of the bytes, so that a suffix
    is read STEP bytes at a time), and the shards' transforms are merged by interleave
    refinement, in LENGTH / STEP passes. Intervals of common prefixes of LENGTH bytes with
@@ -41,7 +41,7 @@ LENGTH, GRAM, STEP = 400, 32, 100
 #: Text bytes that are looked at at once; places within them and the hash share 64 bits.
 PIECE, PLACE_BITS = 1 << 21, 22
 #: Text bytes of a chunk, anchors of a key range, segment bytes of a shard and of a merge, text bytes of a final range.
-CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 12 << 20, 400_000, 4 << 20, 3 << 18, 8 << 20
+CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 12 << 20, 400_000, 4 << 20, 1 << 19, 8 << 20
 WHOLE, OPEN, SHOWN = 1, 2, 3
 
 
@@ -79,11 +79,13 @@ def least_places(value: np.ndarray, window: int) -> np.ndarray:
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor hash, hash of the bytes, of the half window before the
-    anchor, of that from it on) of the segments of texts ``data[bounds[i]:bounds[i + 1]]``.
+    anchor, of that from it on, windows that have the former) of the segments of texts
+    ``data[bounds[i]:bounds[i + 1]]``.
 
-    Windows are given by their place in data; a half is 0 where no window of the segment has it whole.
+    Windows are given by their place in data; the first ones of a segment have the half before
+    the anchor, the others that from it on.
     """
-    none = (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 4)
+    none = (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 4, np.zeros(0, np.int32))
     if len(data) < length:
         return none
     hashes = gram_hashes(data, gram)
@@ -109,10 +111,10 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     own = mix(own + windows.astype(np.uint64) * U(0x632BE59BD9B4E019))
     at, half = anchor[first], length // 2
     halves = gram_hashes(data, half) | U(1)
-    ahead = first + windows - 1
-    left = np.where(at - first >= half, halves[np.clip(at - half, 0, len(halves) - 1)], U(0))
-    right = np.where(ahead + length - at >= half, halves[np.minimum(at, len(halves) - 1)], U(0))
-    return owner[first], first, windows, hashes[at], own, left, right
+    earlier = np.clip(at - half - first + 1, 0, windows)
+    left = np.where(earlier > 0, halves[np.clip(at - half, 0, len(halves) - 1)], U(0))
+    right = np.where(earlier < windows, halves[np.minimum(at, len(halves) - 1)], U(0))
+    return owner[first], first, windows, hashes[at], own, left, right, earlier.astype(np.int32)
 
 
 _INVERSE: dict[int, np.ndarray] = {}
@@ -176,14 +178,14 @@ def _occurrences(length: int, gram: int, n_ranges: int, n_docs: int):
     """
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(8)]
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(9)]
         order = np.lexsort((columns[2], columns[1], columns[0], columns[5], columns[4]))
-        k1, k2, first, windows, anchor, own, left, right = (x[order] for x in columns)
+        k1, k2, first, windows, anchor, own, left, right, earlier = (x[order] for x in columns)
         keep, times = _tally(k1, k2, first, anchor, own, np.ones(len(k1), np.int64))
         whole = times > 1
         rows = [(at, 1, b) for at, b in _rows(_range_of(k1[whole], n_docs), [x[whole] for x in (k1, k2, first, windows, np.full(len(k1), WHOLE, np.uint8), anchor)])] if whole.any() else []
         times = np.minimum(times, 2).astype(np.uint8)
-        return _blocks([(at, 0, b) for at, b in _rows(_range_of(anchor[keep], n_ranges), [x[keep] for x in (k1, k2, first, windows, anchor, own, left, right, times)])] + rows)
+        return _blocks([(at, 0, b) for at, b in _rows(_range_of(anchor[keep], n_ranges), [x[keep] for x in (k1, k2, first, windows, anchor, own, left, right, earlier, times)])] + rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -222,15 +224,11 @@ def _tally(k1, k2, first, anchor, own, times) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~same_text), total[group]
 
 
-def _twice(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Which values other than 0 occur twice or more in their group."""
-    order = np.lexsort((value, group))
-    g, v = group[order], value[order]
-    same = np.zeros(len(g) + 1, bool)
-    same[1:-1] = (g[1:] == g[:-1]) & (v[1:] == v[:-1]) & (v[1:] != 0)
-    out = np.zeros(len(g), bool)
-    out[order] = same[1:] | same[:-1]
-    return out
+def _compared(key: np.ndarray, there: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Which entries share their key with another, in a group where at least one text is alone."""
+    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+    open_ = np.bincount(back, weights=alone & there, minlength=len(n))
+    return there & (n > 1)[back] & (open_ > 0)[back]
 
 
 def _verdicts(n_docs: int):
@@ -238,18 +236,19 @@ def _verdicts(n_docs: int):
 
     def run(group: pa.Table) -> pa.Table:
         blocks = [decompress(b.as_py()) for b in group.column("block")]
-        columns = [np.concatenate([b[i] for b in blocks]) for i in range(9)]
+        columns = [np.concatenate([b[i] for b in blocks]) for i in range(10)]
         order = np.lexsort((columns[2], columns[1], columns[0], columns[5], columns[4]))
-        k1, k2, first, windows, anchor, own, left, right, times = (x[order] for x in columns)
+        k1, k2, first, windows, anchor, own, left, right, earlier, times = (x[order] for x in columns)
         keep, total = _tally(k1, k2, first, anchor, own, times.astype(np.int64))
-        anchors, back = np.unique(anchor, return_inverse=True)
-        similar = np.zeros(len(anchor), bool)
-        similar[keep] = _twice(back[keep], left[keep]) | _twice(back[keep], right[keep])
-        single = np.bincount(back, weights=similar & (total == 1), minlength=len(anchors))
-        compared = similar & (single > 0)[back]
-        verdict = np.where(total > 1, np.where(compared, SHOWN, WHOLE), np.where(compared, OPEN, 0)).astype(np.uint8)
-        told = verdict > 0
-        rows = [(at, 1, b) for at, b in _rows(_range_of(k1[told], n_docs), [x[told] for x in (k1, k2, first, windows, verdict, anchor)])]
+        whole = total > 1
+        told = [(k1[whole], k2[whole], first[whole], windows[whole], np.full(int(whole.sum()), WHOLE, np.uint8), anchor[whole])]
+        for half, begin, n in ((left, first, earlier), (right, first + earlier, windows - earlier)):
+            key = mix(anchor[keep] * BASE + half[keep])
+            ok = keep[_compared(key, half[keep] != 0, ~whole[keep])]
+            verdict = np.where(whole[ok], SHOWN, OPEN).astype(np.uint8)
+            told.append((k1[ok], k2[ok], begin[ok], n[ok].astype(np.int64), verdict, mix(anchor[ok] * BASE + half[ok])))
+        told = [np.concatenate(x) for x in zip(*told, strict=True)]
+        rows = [(at, 1, b) for at, b in _rows(_range_of(told[0], n_docs), told)]
         return pa.Table.from_batches([_blocks(rows)])
 
     return run
