@@ -39,7 +39,7 @@ from fieldrollup.llm.tokens import BASE, U, _tables, compress, decompress, mix,
 
 LENGTH, GRAM, STEP = 400, 32, 100
 #: Text bytes that are looked at at once; places within them and the hash share 64 bits.
-PIECE, PLACE_BITS = 1 << 21, 22
+PIECE, PLACE_BITS = 1 << 19, 22
 #: Text bytes of a chunk, anchors of a key range, segment bytes of a shard and of a merge, text bytes of a final range.
 CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 12 << 20, 400_000, 4 << 20, 1 << 19, 8 << 20
 WHOLE, OPEN, SHOWN = 1, 2, 3
