@@ -41,7 +41,7 @@ LENGTH, GRAM, STEP = 400, 32, 100
 #: Text bytes that are looked at at once; places within them and the hash share 64 bits.
 PIECE, PLACE_BITS = 1 << 19, 22
 #: Text bytes of a chunk, anchors of a key range, segment bytes of a shard and of a merge, text bytes of a final range.
-CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 12 << 20, 400_000, 4 << 20, 1 << 19, 8 << 20
+CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 8 << 20, 100_000, 4 << 20, 1 << 19, 8 << 20
 WHOLE, OPEN, SHOWN = 1, 2, 3
 
 
@@ -237,6 +237,7 @@ def _verdicts(n_docs: int):
     def run(group: pa.Table) -> pa.Table:
         blocks = [decompress(b.as_py()) for b in group.column("block")]
         columns = [np.concatenate([b[i] for b in blocks]) for i in range(10)]
+        del blocks
         order = np.lexsort((columns[2], columns[1], columns[0], columns[5], columns[4]))
         k1, k2, first, windows, anchor, own, left, right, earlier, times = (x[order] for x in columns)
         keep, total = _tally(k1, k2, first, anchor, own, times.astype(np.int64))
