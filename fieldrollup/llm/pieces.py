@@ -24,8 +24,8 @@ import heapq
 import re
 import struct
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldrollup.llm.tokens import KEPT, lean
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a worker remembers at most, and text bytes that are handled at once.
@@ -111,6 +113,10 @@ class PieceModel:
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._text = {i: p for p, i in self.ids.items()}
+        self.sizes = [len(p) for p, _, _ in pieces]
+        self._goto: dict[int, int] = {}
+        self._child: dict[int, int] = {}
+        self._automaton()
 
     def char_ids(self, char: str) -> list[int]:
         """Pieces of a character that is none itself: its bytes, or the unknown piece."""
@@ -157,41 +163,104 @@ class PieceModel:
         ok = self._fits[key] = self.merge(x + y) == [x, y]
         return ok
 
-    def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of each of the sorted words: the depth-first walk."""
+    def _automaton(self) -> None:
+        """The trie of pieces with the longest proper suffix of each node: a node tells which pieces end here, longest first."""
+        child, fail, ends = self._child, [0], [()]
+        level = [(0, piece, i) for piece, i in self.ids.items()]
+        for depth in range(self.longest):
+            rest, own = [], []
+            for node, piece, i in level:
+                key = node << 21 | ord(piece[depth])
+                below = child.get(key)
+                if below is None:
+                    below = child[key] = len(fail)
+                    fail.append(self._suffix(fail, fail[node], key & 0x1FFFFF) if node else 0)
+                    ends.append(ends[fail[below]])
+                if len(piece) == depth + 1:
+                    own.append((below, i))
+                else:
+                    rest.append((below, piece, i))
+            for below, i in own:
+                ends[below] = ((depth + 1, i), *ends[below])
+            level = rest
+        self._fail, self._ends = fail, ends
+
+    def _suffix(self, fail: list, node: int, char: int) -> int:
+        while node and (node << 21 | char) not in self._child:
+            node = fail[node]
+        return self._child.get(node << 21 | char, 0)
+
+    def _step(self, key: int) -> int:
+        """The automaton's node after one more character. key: node and character."""
+        if len(self._goto) > 1 << 20:
+            self._goto.clear()
+        to = self._goto[key] = self._suffix(self._fail, key >> 21, key & 0x1FFFFF)
+        return to
+
+    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """The depth-first walk over sorted words: each word with its forward table.
+
+        The table holds the last piece (-1: a character that is no piece) and the tokens of
+        each prefix, by its length.
+        """
         fill = self._fill_bpe if self.kind == "bpe" else self._fill_unigram
-        # by length of the prefix: its last piece (-1: a character that is no piece), where that begins, and the score
-        last, start, score = [-2], [0], [0.0]
+        last, count, state = [-2], [0], [0 if self.kind == "bpe" else 0.0]
         path = ""
         for word in words:
-            shared = min(len(path), len(word))
-            while not word.startswith(path[:shared]):
-                shared -= 1
-            del last[shared + 1 :], start[shared + 1 :], score[shared + 1 :]
-            fill(word, shared + 1, last, start, score)
+            shared, beyond = 0, min(len(path), len(word)) + 1
+            while beyond - shared > 1:
+                middle = (shared + beyond) // 2
+                if word.startswith(path[shared:middle], shared):
+                    shared = middle
+                else:
+                    beyond = middle
+            del last[shared + 1 :], count[shared + 1 :], state[shared + 1 :]
+            fill(word, shared, last, count, state)
             path = word
-            if self.kind == "bpe" and word.startswith(MARK + MARK):  # equal scores in runs of marks: by definition
-                yield list(chain.from_iterable([self.ids[p]] if p in self.ids else self.char_ids(p) for p in self.merge(word)))
+            yield word, last, count
+
+    def _by_definition(self, word: str) -> bool:
+        """Pairs don't tell how a run of space marks is encoded, as its merges have equal scores."""
+        return self.kind == "bpe" and word.startswith(MARK + MARK)
+
+    def _merged_ids(self, word: str) -> list[int]:
+        return list(chain.from_iterable([self.ids[p]] if p in self.ids else self.char_ids(p) for p in self.merge(word)))
+
+    def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each of the sorted words."""
+        sizes = self.sizes
+        for word, last, _ in self.walk(words):
+            if self._by_definition(word):
+                yield self._merged_ids(word)
                 continue
             out, i = [], len(word)
             while i:
                 piece = last[i]
                 if piece >= 0:
                     out.append(piece)
+                    i -= sizes[piece]
                 else:
-                    out.extend(reversed(self.char_ids(word[i - 1])))
-                i = start[i]
+                    i -= 1
+                    out.extend(reversed(self.char_ids(word[i])))
             out.reverse()
             yield out
 
-    def _fill_bpe(self, word: str, begin: int, last: list, start: list, score: list) -> None:
-        find, known, longest = self.ids.get, self._fits.get, self.longest
-        for i in range(begin, len(word) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                piece = find(word[j:i])
-                if piece is None:
-                    continue
-                previous = last[j]
+    def count_sorted(self, words: list[str]) -> Iterator[int]:
+        """Tokens of each of the sorted words: what the table holds at a word's end."""
+        for word, _, count in self.walk(words):
+            yield len(self._merged_ids(word)) if self._by_definition(word) else count[-1]
+
+    def _fill_bpe(self, word: str, begin: int, last: list, count: list, state: list) -> None:
+        goto, known, ends = self._goto.get, self._fits.get, self._ends
+        node, i = state[begin], begin
+        for char in word[begin:]:
+            i += 1
+            key = node << 21 | ord(char)
+            node = goto(key)
+            if node is None:
+                node = self._step(key)
+            for size, piece in ends[node]:
+                previous = last[i - size]
                 if previous >= 0:
                     key = previous << 24 | piece
                     ok = known(key)
@@ -201,26 +270,28 @@ class PieceModel:
                     ok = self._alone(piece)
                 if ok:
                     last.append(piece)
-                    start.append(j)
+                    count.append(count[i - size] + 1)
                     break
             else:  # no piece ends here: a character that is none
-                if find(word[i - 1]) is not None:
+                if char in self.ids:
                     raise AssertionError(f"no encoding for {word[:i]!r}")
                 last.append(-1)
-                start.append(i - 1)
+                count.append(count[-1] + len(self.char_ids(char)))
+            state.append(node)
 
-    def _fill_unigram(self, word: str, begin: int, last: list, start: list, score: list) -> None:
-        for i in range(begin, len(word) + 1):
+    def _fill_unigram(self, word: str, begin: int, last: list, count: list, state: list) -> None:
+        """Viterbi; the state is the best forward score."""
+        for i in range(begin + 1, len(word) + 1):
             best, piece_of, at = -float("inf"), -1, i - 1
             for j in range(max(0, i - self.longest), i):
                 piece = self.ids.get(word[j:i])
-                if piece is not None and score[j] + self.scores[piece] > best:
-                    best, piece_of, at = score[j] + self.scores[piece], piece, j
-            if word[i - 1] not in self.ids and score[i - 1] + self.floor > best:
-                best, piece_of, at = score[i - 1] + self.floor, -1, i - 1
+                if piece is not None and state[j] + self.scores[piece] > best:
+                    best, piece_of, at = state[j] + self.scores[piece], piece, j
+            if word[i - 1] not in self.ids and state[i - 1] + self.floor > best:
+                best, piece_of, at = state[i - 1] + self.floor, -1, i - 1
             last.append(piece_of)
-            start.append(at)
-            score.append(best)
+            count.append(count[at] + (1 if piece_of >= 0 else len(self.char_ids(word[i - 1]))))
+            state.append(best)
 
     def split(self, text: str) -> list[str]:
         """A text's marked words; none for an empty text."""
@@ -233,19 +304,21 @@ class PieceModel:
         known = dict(zip(sorted(set(words)), self.encode_sorted(sorted(set(words))), strict=True))
         return list(chain.from_iterable(known[w] for w in words))
 
+    def marked(self, word: str) -> bytes:
+        """What the pieces of a word should decode to."""
+        return word.replace(MARK, " ").encode()
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids, without the prefix space; broken bytes become U+FFFD."""
         data = b"".join(map(self.bytes.__getitem__, ids))
         return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _model(data: bytes) -> PieceModel:
-    return PieceModel(data)
-
-
 class WordBook:
-    """A worker's known words: their ids (or only how many), in flat arrays; bounded by KNOWN_WORDS."""
+    """A worker's known words: their ids (or only how many) and whether these decode to the word.
+
+    Flat arrays, bounded by KNOWN_WORDS; a worker keeps its book from task to task.
+    """
 
     def __init__(self, model: PieceModel, counts_only: bool):
         self.model, self.counts_only = model, counts_only
@@ -253,28 +326,57 @@ class WordBook:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.lengths, self.flat = array("i"), array("i")
+        self.lengths, self.flat, self.exact = array("i"), array("i"), array("b")
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > KNOWN_WORDS:
             self.clear()
-        new = sorted(set(words).difference(self.place))
-        for word, ids in zip(new, self.model.encode_sorted(new), strict=True):
-            self.place[word] = len(self.lengths)
-            self.lengths.append(len(ids))
-            if not self.counts_only:
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        code = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        distinct = list(number)
+        new = sorted(w for w in distinct if w not in self.place)
+        self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        if self.counts_only:
+            self.lengths.extend(self.model.count_sorted(new))
+        else:
+            begin = len(self.flat)
+            for ids in self.model.encode_sorted(new):
+                self.lengths.append(len(ids))
                 self.flat.extend(ids)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.exact.extend(self._decode_again(new, self.flat[begin:]))
+        known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        return known[code]
+
+    def _decode_again(self, new: list[str], ids: array) -> list[bool]:
+        """Whether the ids of each new word decode to it: all at once, and one by one only if something differs."""
+        of = self.model.bytes.__getitem__
+        if b"".join(map(of, ids)) == self.model.marked("".join(new)):
+            return [True] * len(new)
+        ends = np.cumsum(self.lengths[len(self.lengths) - len(new) :]).tolist()
+        return [b"".join(map(of, ids[a:b])) == self.model.marked(word) for word, a, b in zip(new, [0, *ends], ends, strict=False)]
 
     def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after another, ids before each word and of all)."""
-        lengths = np.frombuffer(self.lengths, np.int32).astype(np.int64) if len(self.lengths) else np.zeros(0, np.int64)
+        lengths = np.array(self.lengths, dtype=np.int64)
         begin, own = np.cumsum(lengths) - lengths, lengths[place]
         edge = np.concatenate([[0], np.cumsum(own)])
         at = np.repeat(begin[place] - edge[:-1], own) + np.arange(edge[-1])
         return np.array(self.flat, dtype=np.int32)[at], edge
 
 
+def _book(data: bytes, counts_only: bool) -> WordBook:
+    """The worker's book for a model."""
+    if KEPT.get("model") != data:
+        KEPT.clear()
+        KEPT["model"] = data
+    book = KEPT.get(counts_only)
+    if book is None:
+        other = KEPT.get(not counts_only)
+        book = KEPT[counts_only] = WordBook(other.model if other else PieceModel(data), counts_only)
+    return book
+
+
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     """Row ranges with their texts, about SLICE_CHARS each."""
     column = batch.column(batch.schema.get_field_index("text"))
@@ -291,25 +393,26 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 
 def _encoder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(model.value)
-        book = WordBook(own, counts_only=False)
+        book = _book(model.value, False)
         for batch in batches:
             for a, b, texts in _batches(batch):
-                words = [own.split(t) for t in texts]
+                words = [book.model.split(t) for t in texts]
+                n_words = np.array([0, *map(len, words)], dtype=np.int64)
                 place = book.places(list(chain.from_iterable(words)))
+                del words, texts
                 ids, before = book.gather(place)
-                ends = before[np.cumsum([0, *map(len, words)])]
-                flat = ids.tolist()
-                exact = [own.decode(flat[i:j]) == text.replace(MARK, " ") for i, j, text in zip(ends[:-1].tolist(), ends[1:].tolist(), texts, strict=True)]
+                edge = np.cumsum(n_words)
+                ends = before[edge]
+                wrong = np.concatenate([[0], np.cumsum(np.array(book.exact)[place] == 0)])[edge]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(exact)], ["doc_id", "n_pieces", "piece_ids", "exact"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(np.diff(wrong) == 0)], ["doc_id", "n_pieces", "piece_ids", "exact"])
 
-    return run
+    return lean(run, keeps=True)
 
 
 def _decoder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(model.value)
+        own = _book(model.value, False).model
         for batch in batches:
             texts = [own.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -319,18 +422,18 @@ def _decoder(model):
 
 def _counter(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(model.value)
-        book = WordBook(own, counts_only=True)
+        book = _book(model.value, True)
         for batch in batches:
             for a, b, texts in _batches(batch):
-                words = [own.split(t) for t in texts]
-                place = book.places(list(chain.from_iterable(words)))
+                words = [book.model.split(t) for t in texts]
                 n_words = np.array([len(w) for w in words], dtype=np.int64)
+                place = book.places(list(chain.from_iterable(words)))
+                del words, texts
                 total = np.concatenate([[0], np.cumsum(np.array(book.lengths, dtype=np.int64)[place] if len(place) else place)])
                 ends = np.cumsum(n_words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_words), pa.array(total[ends] - total[ends - n_words])], ["doc_id", "n_words", "n_tokens"])
 
-    return run
+    return lean(run, keeps=True)
 
 
 def _shared_model(df: DataFrame, path: str):

@@ -6,6 +6,8 @@ of thousands of them, so that Spark moves few rows and numpy does the work.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,11 +16,56 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-#: Text bytes that are hashed at once; arrays of eight times that size stay in memory.
-SLICE_BYTES = 2 << 20
+#: Text bytes whose words are handled at once, and those that are hashed at once.
+SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 19
 U = np.uint64
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """Gives freed memory back to the system; nothing where the C library can't."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+#: What a worker keeps from task to task, until it gets a task of another operator.
+KEPT: dict = {}
+
+
+def lean(run, keeps: bool = False):
+    """A worker's function that holds on to no freed memory: Spark keeps workers for later tasks,
+    and those of one executor share its memory with the JVM. keeps: it uses what is in KEPT."""
+
+    def begin():
+        if not keeps:
+            KEPT.clear()
+        return _trim()
+
+    if inspect.isgeneratorfunction(run):
+
+        def wrapped(batches):
+            trim = begin()
+            for out in run(batches):
+                yield out
+                del out
+                trim(0)
+            trim(0)
+
+    else:
+
+        def wrapped(group):
+            trim = begin()
+            try:
+                return run(group)
+            finally:
+                trim(0)
+
+    return wrapped
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240301)
@@ -31,7 +78,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 BASE = U(0x9E3779B97F4A7C15)
-_STEP = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -68,35 +114,75 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = min(end, n)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each text) for texts ``raw[offsets[i]:offsets[i+1]]``."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text) for texts ``raw[offsets[i]:offsets[i+1]]``.
+
+    Bytes are looked at in pieces, so that a text or a word of any length costs memory by the
+    number of its words only; a word that a piece's end cuts is put together again.
+    """
+    first, end = int(offsets[0]), int(offsets[-1])
+    sums, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    open_at = -1  # where the word begins that goes on in the next piece
+    for begin in range(first, end, piece):
+        stop = min(begin + piece, end)
+        texts = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, stop)] - begin
+        part, at, goes_on = _word_sums(raw[begin:stop], texts, lower)
+        if open_at >= 0 and len(at) and at[0] == 0 and not (len(texts) and texts[0] == 0):
+            with np.errstate(over="ignore"):
+                sums[-1][-1] += part[0] * U(pow(int(BASE), begin - open_at, 1 << 64))
+            part, at = part[1:], at[1:]
+            own = open_at
+        else:
+            own = -1
+        sums.append(part)
+        places.append(at + begin)
+        open_at = -1 if not goes_on else int(places[-1][-1]) if len(at) else own
+        if not len(at):  # the open word stays the last one
+            sums.pop()
+            places.pop()
+    at = np.concatenate(places)
+    return mix(np.concatenate(sums)), np.diff(np.searchsorted(at, offsets, "left"))
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of the words of ``word_hashes``, in its order."""
+    is_space = _tables()[1]
+    first, end = int(offsets[0]), int(offsets[-1])
+    starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin in range(first, end, piece):
+        stop = min(begin + piece, end)
+        low, high = max(begin - 1, first), min(stop + 1, end)
+        inside = ~is_space[raw[low:high]]
+        edge = np.zeros(len(inside) + 1, bool)
+        edge[[0, -1]] = low == first, high == end
+        edge[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, "right")] - low] = True
+        here = slice(begin - low, stop - low)
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1] | edge[1:-1]
+        closes[:-1] &= ~inside[1:] | edge[1:-1]
+        starts.append(np.flatnonzero(opens[here]) + begin)
+        stops.append(np.flatnonzero(closes[here]) + begin + 1)
+    at = np.concatenate(starts)
+    return at, np.concatenate(stops) - at
+
+
+def _word_sums(b: np.ndarray, texts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(sum of letters times powers, begin) of each word of a piece, and whether its last word reaches the end."""
     letters, is_space, low = _tables()
-    first, n = int(offsets[0]), len(offsets) - 1
-    b = raw[first : int(offsets[-1])]
-    if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     if lower:
         b = low[b]
     inside = ~is_space[b]
-    begins = np.zeros(len(b) + 1, bool)
-    begins[offsets[:-1] - first] = True
     starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | begins[1:-1]
+    begins = np.zeros(len(b), bool)
+    begins[texts] = True
+    starts[1:] &= ~inside[:-1] | begins[1:]
     at = np.flatnonzero(starts)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    body = slice(int(at[0]), len(b))
-    lengths = np.diff(np.append(at, len(b)))
-    place = np.arange(at[0], len(b)) - np.repeat(at, lengths)
-    low_part = powers(_STEP)
-    value = letters[b[body]] * low_part[place & (_STEP - 1)]
-    if int(lengths.max()) > _STEP:
-        far = np.cumprod(np.full((int(lengths.max()) >> 16) + 2, (low_part[-1:] * BASE)[0], dtype=np.uint64))
-        value *= np.concatenate([[U(1)], far])[place >> 16]
-    value[~inside[body]] = 0
-    h = mix(np.add.reduceat(value, at - at[0]))
-    ends = np.searchsorted(at, offsets - first, "left")
-    return h, np.diff(ends)
+        return np.zeros(0, np.uint64), at, False
+    place = np.arange(at[0], len(b)) - np.repeat(at, np.diff(np.append(at, len(b))))
+    value = letters[b[at[0] :]] * powers(max(PIECE_BYTES, len(b)))[place]
+    value[~inside[at[0] :]] = 0
+    return np.add.reduceat(value, at - at[0]), at, bool(inside[-1])
 
 
 def compress(*arrays: np.ndarray) -> bytes:
