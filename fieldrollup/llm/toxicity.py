@@ -22,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldrollup.llm.common import text_or_empty, words
-from fieldrollup.llm.tokens import U, slices, text_bytes, word_hashes
+from fieldrollup.llm.tokens import U, _tables, lean, slices, text_bytes, word_hashes, word_spans
 
 TRAIN_DOCS, FIT_DOCS = 2000, 4000
 ORDER = 6
 DISCOUNT = 0.75
 #: Words of the run that is looked at beside the whole text.
 RUN = 2
-SCORE_SLICE = 6 << 20
+#: Bytes of words whose six-grams are looked up at once.
+GROUP_BYTES = 1 << 19
 LABEL_PARTS = 4
 THRESHOLD = 0.3
 _LOW48 = U((1 << 48) - 1)
@@ -38,14 +39,14 @@ _LOW48 = U((1 << 48) - 1)
 def word_grams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(six-gram ending at each byte of each word and at the space after it, places at which words begin).
 
-    A six-gram is its bytes in the lower 48 bits, zeros before the word's start; the last
-    byte is the lowest.
+    A six-gram is its bytes, lower-cased in A-Z, in the lower 48 bits, zeros before the word's
+    start; the last byte is the lowest.
     """
     n = lengths + 1
     first = np.cumsum(n) - n
     place = np.arange(int(n.sum())) - np.repeat(first, n)
     at = np.repeat(starts, n) + place
-    byte = data[np.minimum(at, len(data) - 1)].astype(np.uint64)
+    byte = _tables()[2][data[np.minimum(at, len(data) - 1)]].astype(np.uint64)
     byte[first + lengths] = 32
     gram = byte.copy()
     for k in range(1, ORDER):
@@ -57,7 +58,7 @@ class Lookup:
     """Values by 48-bit key in a hash table of linear probes, for arrays of keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 1.5).bit_length())
         size = 1 << self.bits
         self.keys = np.full(size, np.iinfo(np.uint64).max, np.uint64)
         self.values = np.zeros(size, np.float32)
@@ -98,13 +99,28 @@ class Model:
     grams: Lookup
     contexts: Lookup
 
-    def word_ratios(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio, toxic over ordinary, of each word."""
-        gram, first = word_grams(data, starts, lengths)
+    def _values(self, gram: np.ndarray) -> np.ndarray:
         value, found = self.grams.get(gram)
         rest = np.flatnonzero(~found)
         value[rest] = self.contexts.get(gram[rest] >> U(8))[0]
-        return np.add.reduceat(value.astype(np.float64), first) if len(first) else np.zeros(0)
+        return value.astype(np.float64)
+
+    def word_ratios(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: int = GROUP_BYTES) -> np.ndarray:
+        """Log-likelihood ratio, toxic over ordinary, of each word; about ``group`` bytes are looked at at once."""
+        out, ends, i = np.zeros(len(starts)), np.cumsum(lengths + 1), 0
+        while i < len(starts):
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + group, "right"))
+            if j > i:
+                gram, first = word_grams(data, starts[i:j], lengths[i:j])
+                out[i:j] = np.add.reduceat(self._values(gram), first)
+                i = j
+                continue
+            for o in range(0, int(lengths[i]), group):  # a longer word, in parts that see what is before them
+                begin, end = max(o - ORDER + 1, 0), min(o + group, int(lengths[i]))
+                gram, _ = word_grams(data, starts[i : i + 1] + begin, np.array([end - begin]))
+                out[i] += self._values(gram[o - begin : len(gram) - (end < lengths[i])]).sum()
+            i += 1
+        return out
 
 
 def _shared_backoff(grams: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -139,9 +155,8 @@ def _shared_backoff(grams: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (word, toxic, n) to rows (gram, in toxic, in ordinary) of the words, lower-cased in A-Z."""
-    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     for batch in batches:
-        tokens = [w.encode().translate(lower) for w in batch.column(0).to_pylist()]
+        tokens = [w.encode() for w in batch.column(0).to_pylist()]
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         gram, _ = word_grams(np.frombuffer(b"".join(tokens) + b" ", np.uint8), np.cumsum(lengths) - lengths, lengths)
         weight = np.repeat(batch.column(2).to_numpy(), lengths + 1)
@@ -177,9 +192,9 @@ def features(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(n), 3))
     if not len(hashes):
         return out
-    data, starts, lengths = _lowered_words(raw, offsets)
+    starts, lengths = word_spans(raw, offsets)
     _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-    ratio = model.word_ratios(data, starts[one], lengths[one])[back]
+    ratio = model.word_ratios(raw, starts[one], lengths[one])[back]
     ratio[1:][hashes[1:] == hashes[:-1]] = 0.0  # a word said again says nothing more
     total = np.concatenate([[0.0], np.cumsum(ratio)])
     ends = np.cumsum(n)
@@ -194,24 +209,6 @@ def features(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lowered_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, start and length of each word): the words of ``word_hashes``, in its order."""
-    from fieldrollup.llm.tokens import _tables
-
-    _, is_space, low = _tables()
-    first = int(offsets[0])
-    b = low[raw[first : int(offsets[-1])]]
-    inside = ~is_space[b]
-    edge = np.zeros(len(b) + 1, bool)
-    edge[offsets - first] = True
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | edge[1:-1]
-    stops = inside.copy()
-    stops[:-1] &= ~inside[1:] | edge[1:-1]
-    at = np.flatnonzero(starts)
-    return b, at, np.flatnonzero(stops) + 1 - at
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton steps over standardised features: (mean, scale, weights with bias)."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -228,21 +225,35 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return mean, scale, w
 
 
-def _mapper(model, curve, names: list[str]):
+def _features(model: Model, texts: pa.Array) -> np.ndarray:
+    raw, offsets = text_bytes(texts)
+    return np.concatenate([features(model, raw, offsets[a : b + 1]) for a, b in slices(offsets)] or [np.zeros((0, 3))])
+
+
+def _seen(model):
+    """Rows (text, toxic) to (toxic, the features)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
-            x = np.concatenate([features(model.value, raw, offsets[a : b + 1]) for a, b in slices(offsets, SCORE_SLICE)] or [np.zeros((0, 3))])
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            if curve is None:
-                out = [pa.array(x[:, i]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, *out], [*names, "peak", "mean", "size"])
-            else:
-                mean, scale, w = curve
-                z = (x - mean) / scale @ w[:-1] + w[-1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*names, "score"])
+            x = _features(model.value, batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(3)]], ["toxic", "peak", "mean", "size"])
+
+    return lean(run)
+
+
+def _scores(model, curve):
+    """The score of a text column. Only texts go to the workers; the rows stay in the JVM."""
+    mean, scale, w = curve
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            z = (_features(model.value, column) - mean) / scale @ w[:-1] + w[-1]
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(run)(texts)
 
-    return run
+    return F.arrow_udf(score, "double")
 
 
 def id_part(col: Column) -> Column:
@@ -272,25 +283,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     taught = texts.join(F.broadcast(sample.select(F.col("doc_id").alias("_id"), "toxic", "part")), F.col("doc_id") == F.col("_id")).select("text", "toxic", "part")
     lowered = words(F.col("text"))
     counted = taught.where("part < 2").select(F.explode(lowered).alias("word"), "toxic").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    grams = counted.mapInArrow(count_grams, "gram long, in_toxic long, in_ordinary long").groupBy("gram")
+    grams = counted.mapInArrow(lean(count_grams), "gram long, in_toxic long, in_ordinary long").groupBy("gram")
     grams = grams.agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_ordinary").alias("in_ordinary")).toArrow()
     types, in_toxic, in_ordinary = (grams.column(c).to_numpy() for c in ("gram", "in_toxic", "in_ordinary"))
     held = (id_part(F.col(f"`{id_col}`")) == 2).alias("held_out")
-    names = ["doc_id", *["row"] * carry]
+    names = ["doc_id", *["row"] * carry, "held_out"]
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *whole, held, text_or_empty(text_col).alias("text"))
     if not in_toxic.sum() or not in_ordinary.sum():
-        return rows.select(*names, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return rows.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     order = np.argsort(types)  # grams are below 2**48
     model = fit(types[order].view(np.uint64), in_toxic[order].astype(np.float64), in_ordinary[order].astype(np.float64))
     del grams, types, in_toxic, in_ordinary
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
-    seen = taught.where("part = 3").mapInArrow(_mapper(shared, None, ["toxic"]), "toxic int, peak double, mean double, size double").collect()
+    seen = taught.where("part = 3").select("text", "toxic").mapInArrow(_seen(shared), "toxic int, peak double, mean double, size double").collect()
     x, y = np.array([tuple(r)[1:] for r in seen]).reshape(-1, 3), np.array([r["toxic"] for r in seen])
     if len(set(y.tolist())) < 2:
         curve = (np.zeros(3), np.ones(3), np.array([1.0, 0.0, 0.0, -1.0]))
     else:
         curve = fit_curve(x, y)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names, "held_out").schema) + ", score double"
-    scored = rows.mapInArrow(_mapper(shared, curve, [*names, "held_out"]), schema)
+    scored = rows.select(*names, _scores(shared, curve)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
