@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,33 @@ def sweep(spark: SparkSession, folders: list[str]) -> None:
     spark._staged = [x for x in staged(spark) if x not in folders]
 
 
+#: Bits of an id filter at most: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of which only some ids pass, all of ``ids`` among them, to keep rows from a join's shuffle.
+
+    It is a bitmap of hashed ids, broadcast, of 16 bits an id and FILTER_BITS at most: beyond
+    some millions of ids more and more others pass, and the join does the work alone.
+    """
+    spark = ids.sparkSession
+    size = 1 << max(16, min(FILTER_BITS, ids.count() * 16).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
+    words = ids.select(place(F.col(column)).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def test(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    known = F.arrow_udf(test, "boolean")
+    return lambda c: known(place(c))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

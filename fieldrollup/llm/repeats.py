@@ -16,6 +16,8 @@ all suffixes of a corpus isn't feasible, and isn't needed:
    is read STEP bytes at a time), and the shards' transforms are merged by interleave
    refinement, in LENGTH / STEP passes. Intervals of common prefixes of LENGTH bytes with
    two suffixes or more are the repeated strings; their suffixes are the places where they start.
+   A half that more than HOT_SEGMENTS different segments share would be one task of any size:
+   there, each window goes by the hash of its LENGTH bytes, and a chunk sends one of equal ones.
 3. Places go back to their documents, where the covered bytes are cut out.
 
 Texts that are equal as a whole are known from their SHA-256 and are told apart from other
@@ -34,15 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldrollup.llm.bwt import merge, transform
-from fieldrollup.llm.common import Staging, text_or_empty
-from fieldrollup.llm.tokens import BASE, U, _tables, compress, decompress, mix, powers, text_bytes
+from fieldrollup.llm.common import Staging, id_filter, text_or_empty
+from fieldrollup.llm.tokens import BASE, U, _tables, compress, decompress, lean, mix, powers, text_bytes
 
 LENGTH, GRAM, STEP = 400, 32, 100
 #: Text bytes that are looked at at once; places within them and the hash share 64 bits.
 PIECE, PLACE_BITS = 1 << 19, 22
-#: Text bytes of a chunk, anchors of a key range, segment bytes of a shard and of a merge, text bytes of a final range.
-CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES = 8 << 20, 100_000, 4 << 20, 1 << 19, 8 << 20
-WHOLE, OPEN, SHOWN = 1, 2, 3
+#: Text bytes of a chunk, anchors of a key range, segment bytes of a shard and of a merge, text bytes of a final range, hot windows of a range.
+CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES, MERGE_BYTES, RANGE_BYTES, RANGE_WINDOWS = 8 << 20, 100_000, 4 << 20, 1 << 19, 8 << 20, 1_000_000
+#: Different segments that a merge compares in one half; beyond that, each window is dealt by its own hash.
+HOT_SEGMENTS = 500
+#: Verdicts. A segment's windows are all repeated (WHOLE, SHOWN) or not known yet (OPEN); all but WHOLE are compared,
+#: with HOT those of a half that very many segments share.
+WHOLE, OPEN, SHOWN, HOT = 1, 2, 3, 4
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -114,7 +120,8 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     earlier = np.clip(at - half - first + 1, 0, windows)
     left = np.where(earlier > 0, halves[np.clip(at - half, 0, len(halves) - 1)], U(0))
     right = np.where(earlier < windows, halves[np.minimum(at, len(halves) - 1)], U(0))
-    return owner[first], first, windows, hashes[at], own, left, right, earlier.astype(np.int32)
+    # least hashes are small; mixed again, they are even over the key ranges
+    return owner[first], first, windows, mix(hashes[at]), own, left, right, earlier.astype(np.int32)
 
 
 _INVERSE: dict[int, np.ndarray] = {}
@@ -203,7 +210,7 @@ def _occurrences(length: int, gram: int, n_ranges: int, n_docs: int):
         if parts:
             yield flush(parts)
 
-    return run
+    return lean(run)
 
 
 def _tally(k1, k2, first, anchor, own, times) -> tuple[np.ndarray, np.ndarray]:
@@ -224,14 +231,14 @@ def _tally(k1, k2, first, anchor, own, times) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~same_text), total[group]
 
 
-def _compared(key: np.ndarray, there: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Which entries share their key with another, in a group where at least one text is alone."""
+def _compared(key: np.ndarray, there: np.ndarray, alone: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries share their key with another, in a group where at least one text is alone, and which with very many."""
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     open_ = np.bincount(back, weights=alone & there, minlength=len(n))
-    return there & (n > 1)[back] & (open_ > 0)[back]
+    return there & (n > 1)[back] & (open_ > 0)[back], (n > many)[back]
 
 
-def _verdicts(n_docs: int):
+def _verdicts(n_docs: int, many: int):
     """Occurrences of a range of anchors to verdicts by range of documents."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -245,14 +252,15 @@ def _verdicts(n_docs: int):
         told = [(k1[whole], k2[whole], first[whole], windows[whole], np.full(int(whole.sum()), WHOLE, np.uint8), anchor[whole])]
         for half, begin, n in ((left, first, earlier), (right, first + earlier, windows - earlier)):
             key = mix(anchor[keep] * BASE + half[keep])
-            ok = keep[_compared(key, half[keep] != 0, ~whole[keep])]
-            verdict = np.where(whole[ok], SHOWN, OPEN).astype(np.uint8)
+            chosen, hot = _compared(key, half[keep] != 0, ~whole[keep], many)
+            ok = keep[chosen]
+            verdict = (np.where(whole[ok], SHOWN, OPEN) + np.where(hot[chosen], HOT, 0)).astype(np.uint8)
             told.append((k1[ok], k2[ok], begin[ok], n[ok].astype(np.int64), verdict, mix(anchor[ok] * BASE + half[ok])))
         told = [np.concatenate(x) for x in zip(*told, strict=True)]
         rows = [(at, 1, b) for at, b in _rows(_range_of(told[0], n_docs), told)]
         return pa.Table.from_batches([_blocks(rows)])
 
-    return run
+    return lean(run)
 
 
 def _by_document(group: pa.Table) -> pa.Table:
@@ -269,19 +277,23 @@ def _by_document(group: pa.Table) -> pa.Table:
     return pa.table({"k1": k1[begins].view(np.int64), "k2": k2[begins].view(np.int64), "block": pa.array(out, pa.binary())})
 
 
-def _shards(length: int, n_merges: int):
-    """(k1, k2, text, block) to the segments that must be compared, as shards by range of anchors."""
+def _shards(length: int, n_merges: int, n_hot: int, n_docs: int):
+    """(k1, k2, text, block) to the segments that must be compared. kind 0: shards by range of halves;
+    kind 2: windows of hot halves by range of their hash; kind 1: verdicts, as in ``_occurrences``.
+    """
 
     def flush(parts, texts) -> pa.RecordBatch:
-        k1, k2, first, windows, anchor = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        at = _range_of(anchor, n_merges)
-        rows = []
+        k1, k2, first, windows, verdict, anchor = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        hot = np.flatnonzero(verdict > HOT)
+        rows = _hot_windows(k1[hot], k2[hot], first[hot], windows[hot], [texts[i] for i in hot], length, n_hot, n_docs)
+        own = np.flatnonzero(verdict < HOT)
+        at = _range_of(anchor[own], n_merges)
         order = np.argsort(at, kind="stable")
         begins = np.flatnonzero(np.diff(at[order], prepend=-1))
-        for a, b in zip(begins, np.append(begins[1:], len(order)), strict=True):
-            own = order[a:b]
-            data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
-            rows.append((int(at[own[0]]), 0, compress(k1[own], k2[own], first[own], windows[own], data)))
+        for a, b in zip(begins, np.append(begins[1:], len(order))[: len(begins)], strict=True):
+            one = own[order[a:b]]
+            data = np.frombuffer(b"".join(texts[i] for i in one), np.uint8)
+            rows.append((int(at[order[a]]), 0, compress(k1[one], k2[one], first[one], windows[one], data)))
         return _blocks(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +306,7 @@ def _shards(length: int, n_merges: int):
                     continue
                 data = text.as_py().encode()
                 key = np.array([k1.as_py(), k2.as_py()], np.int64).view(np.uint64)
-                parts.append((np.full(len(shown), key[0]), np.full(len(shown), key[1]), first[shown], windows[shown], anchor[shown]))
+                parts.append((np.full(len(shown), key[0]), np.full(len(shown), key[1]), first[shown], windows[shown], verdict[shown], anchor[shown]))
                 own = [data[a : a + n - 1 + length] for a, n in zip(first[shown].tolist(), windows[shown].tolist(), strict=True)]
                 texts.extend(own)
                 held += sum(map(len, own))
@@ -304,7 +316,51 @@ def _shards(length: int, n_merges: int):
         if parts:
             yield flush(parts, texts)
 
-    return run
+    return lean(run)
+
+
+def _hot_windows(k1, k2, first, windows, texts: list[bytes], length: int, n_hot: int, n_docs: int) -> list[tuple[int, int, bytes]]:
+    """Blocks of the windows of hot segments: one of each text that the chunk has, and runs of those that it has twice."""
+    if not len(first):
+        return []
+    segment = np.repeat(np.arange(len(first)), windows)
+    place = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows) + first[segment]
+    value = np.concatenate([gram_hashes(np.frombuffer(t, np.uint8), length) for t in texts])
+    _, one, back, times = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+    at = _range_of(value[one], n_hot)
+    columns = [value[one], k1[segment[one]], k2[segment[one]], place[one], np.minimum(times, 2).astype(np.uint8)]
+    rows = [(i, 2, b) for i, b in _rows(at, columns)]
+    return rows + _runs_of(times[back] > 1, segment, place, k1, k2, n_docs)
+
+
+def _runs_of(hit: np.ndarray, segment: np.ndarray, place: np.ndarray, k1: np.ndarray, k2: np.ndarray, n_docs: int) -> list[tuple[int, int, bytes]]:
+    """Runs of the windows that are hit, (k1, k2, first, windows) by range of documents."""
+    at = np.flatnonzero(hit)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(place[at]) != 1) | (segment[at[1:]] != segment[at[:-1]])
+    begins = np.flatnonzero(new)
+    runs = np.diff(np.append(begins, len(at)))
+    own = segment[at[begins]]
+    return [(d, 1, b) for d, b in _rows(_range_of(k1[own], n_docs), [k1[own], k2[own], place[at[begins]], runs])]
+
+
+def _counted(n_docs: int):
+    """Windows of a range of hashes to those that occur twice, as runs by range of documents."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks = [decompress(b.as_py()) for b in group.column("block")]
+        value, k1, k2, place, times = (np.concatenate([b[i] for b in blocks]) for i in range(5))
+        del blocks
+        _, back = np.unique(value, return_inverse=True)
+        hit = np.flatnonzero(np.bincount(back, weights=times)[back] > 1)
+        hit = hit[np.lexsort((place[hit], k2[hit], k1[hit]))]
+        k1, k2, place = k1[hit], k2[hit], place[hit]
+        new = np.ones(len(hit), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        owner = np.cumsum(new) - 1
+        return pa.Table.from_batches([_blocks(_runs_of(np.ones(len(hit), bool), owner, place, k1[new], k2[new], n_docs))])
+
+    return lean(run)
 
 
 def repeated_windows(shards: list[tuple[np.ndarray, np.ndarray]], length: int, step: int) -> list[np.ndarray]:
@@ -363,16 +419,10 @@ def _merged(length: int, step: int, n_docs: int):
         hit = np.concatenate(found)
         segment = np.repeat(np.arange(len(windows)), windows)
         place = np.repeat(first, windows) + np.arange(len(hit)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = np.flatnonzero(hit)
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) > 1) | (segment[at[1:]] != segment[at[:-1]])
-        begins = np.flatnonzero(new)
-        runs = np.diff(np.append(begins, len(at)))
-        own = segment[at[begins]]
-        rows = [(d, 1, b) for d, b in _rows(_range_of(k1[own], n_docs), [k1[own], k2[own], place[at[begins]], runs])]
+        rows = _runs_of(hit, segment, place, k1, k2, n_docs)
         return pa.Table.from_batches([_blocks(rows)])
 
-    return run
+    return lean(run)
 
 
 def _cut(length: int):
@@ -394,7 +444,7 @@ def _cut(length: int):
             k1, k2 = group.column("k1")[int(i)].as_py(), group.column("k2")[int(i)].as_py()
             data = group.column("text")[int(i)].as_py().encode()
             first, windows, verdict, _ = decompress(group.column("block")[int(i)].as_py())
-            whole = verdict != OPEN
+            whole = verdict % HOT != OPEN
             mine = runs.get((k1 & (1 << 64) - 1, k2 & (1 << 64) - 1), [])
             begin = np.concatenate([first[whole], *[r[0] for r in mine]])
             end = np.concatenate([first[whole] + windows[whole], *[r[0] + r[1] for r in mine]]) - 1 + length
@@ -403,7 +453,7 @@ def _cut(length: int):
         columns = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(_CUT.items(), columns, strict=True)})
 
-    return run
+    return lean(run)
 
 
 _CUT = {"k1": pa.int64(), "k2": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
@@ -423,7 +473,7 @@ def cut(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, int, in
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((stops - starts).sum()), len(starts)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, hot: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each input row.
 
     Texts are UTF-8 bytes; null is empty. Strings are judged on the input, may overlap, never
@@ -444,21 +494,26 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.substring(F.unhex("sha"), 1, 16)
     found = rows.where(F.octet_length("text") >= length).select("text", key.alias("key")).mapInArrow(_occurrences(length, gram, n_ranges, n_docs), BLOCKS)
     found = stage.write(found, "occurrences")
-    told = found.where("kind = 0").groupBy("at").applyInArrow(_verdicts(n_docs), BLOCKS).unionAll(found.where("kind = 1"))
-    verdicts = told.groupBy("at").applyInArrow(_by_document, "k1 long, k2 long, block binary")
+    told = found.where("kind = 0").groupBy("at").applyInArrow(_verdicts(n_docs, hot), BLOCKS).unionAll(found.where("kind = 1"))
+    verdicts = told.groupBy("at").applyInArrow(lean(_by_document), "k1 long, k2 long, block binary")
     half = lambda k: F.conv(F.reverse(F.regexp_replace(F.substring("sha", 1 + 16 * k, 16), "(.)(.)", "$2$1")), 16, -10).cast("bigint")
     copies = docs.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("_rep"))
     named = copies.select(F.col("sha").alias("_sha"), "_rep", half(0).alias("_k1"), half(1).alias("_k2"))
-    named = verdicts.join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("k1", "k2", "block", "_sha", "_rep")
-    texts = rows.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep")))
+    named = stage.write(verdicts.join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("k1", "k2", "block", "_sha", "_rep"), "named")
+    texts = rows.select("doc_id", "text").where(id_filter(named, "_rep")(F.col("doc_id")))
+    texts = texts.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep")))
     texts = texts.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")).select("k1", "k2", "text", "block")
     texts = stage.write(texts, "texts")
     stage.drop("occurrences")
+    stage.drop("named")
     if texts.groupBy("k1", "k2").count().where("count > 1").count():  # rows repeated under one id
         texts = stage.write(texts.dropDuplicates(["k1", "k2"]), "distinct_texts")
-    n_open = texts.select("k1", "block").mapInArrow(_open_bytes(length), "n long").agg(F.sum("n")).first()[0] or 0
-    shards = texts.mapInArrow(_shards(length, max(4, math.ceil(n_open / MERGE_BYTES))), BLOCKS)
-    runs = shards.groupBy("at").applyInArrow(_merged(length, step, n_docs), BLOCKS)
+    n_open, n_hot = (x or 0 for x in texts.select("k1", "block").mapInArrow(_open_bytes(length), "n long, hot long").agg(F.sum("n"), F.sum("hot")).first())
+    shards = texts.mapInArrow(_shards(length, max(4, math.ceil(n_open / MERGE_BYTES)), max(1, math.ceil(n_hot / RANGE_WINDOWS)), n_docs), BLOCKS)
+    shards = stage.write(shards, "shards")
+    runs = shards.where("kind = 0").groupBy("at").applyInArrow(_merged(length, step, n_docs), BLOCKS).unionAll(shards.where("kind = 1"))
+    if n_hot:
+        runs = runs.unionAll(shards.where("kind = 2").groupBy("at").applyInArrow(_counted(n_docs), BLOCKS))
     at = F.shiftright(F.shiftrightunsigned("k1", 32) * F.lit(n_docs), 32).cast("int")
     empty = {"k1": "bigint", "k2": "bigint", "text": "string"}
     both = texts.select(at.alias("at"), F.lit(0).alias("kind"), "block", "k1", "k2", "text")
@@ -476,12 +531,16 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _open_bytes(length: int):
+    """Bytes that merges compare, and windows of hot halves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = 0
+            n = hot = 0
             for block in batch.column(1):
                 _, windows, verdict, _ = decompress(block.as_py())
-                n += int((windows[verdict >= OPEN] + length - 1).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                merged = (verdict >= OPEN) & (verdict < HOT)
+                n += int((windows[merged] + length - 1).sum())
+                hot += int(windows[verdict > HOT].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([hot], pa.int64())], ["n", "hot"])
 
-    return run
+    return lean(run)

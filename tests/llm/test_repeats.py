@@ -89,12 +89,12 @@ def fixture(seed):
     return texts
 
 
-@pytest.mark.parametrize(("length", "gram", "step"), [(20, 4, 5), (20, 6, 1), (24, 8, 12)])
-def test_repeats(spark, length, gram, step):
+@pytest.mark.parametrize(("length", "gram", "step", "hot"), [(20, 4, 5, 500), (20, 6, 1, 500), (24, 8, 12, 500), (20, 4, 5, 2), (24, 8, 12, 0)])
+def test_repeats(spark, length, gram, step, hot):
     texts = fixture(length + step)
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "n" * 30, "x"), (3, texts[3], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, sha string").repartition(3)
-    got = repeats.without_repeats(df, length=length, gram=gram, step=step).collect()
+    got = repeats.without_repeats(df, length=length, gram=gram, step=step, hot=hot).collect()
     want = Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows], length), strict=True))
     assert Counter(map(tuple, got)) == want
 
