@@ -30,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldrollup.llm.common import Staging
+from fieldrollup.llm.common import Staging, id_filter
 from fieldrollup.llm.components import components
-from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, mix, slices, text_bytes, word_hashes
+from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, lean, mix, slices, text_bytes, word_hashes
 
 WORDS, PERCENT = 4, 85
 #: Hashes beyond the least prefix that are looked at in step 2, of a hundred of a set.
 EXTRA = 10
 #: Hashes that one key range should hold, hashes of a packed chunk, classes of a search block.
-RANGE_HASHES, CHUNK_HASHES, BLOCK = 1_500_000, 1_000_000, 1024
+RANGE_HASHES, CHUNK_HASHES, BLOCK = 1_000_000, 1_000_000, 512
+#: Hashes of the small components that one search task should hold.
+TASK_HASHES = 100_000
 #: A probe costs about as much as this many merged postings.
 PROBE_COST = 16
 _JOIN = U(0xA24BAED4963EE407)
@@ -116,7 +118,7 @@ def _sketch(k: int, percent: int):
                     [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(blocks, pa.binary())], ["doc_id", "n", "s1", "s2", "prefix"]
                 )
 
-    return run
+    return lean(run)
 
 
 def _post_prefixes(n_ranges: int):
@@ -140,7 +142,7 @@ def _post_prefixes(n_ranges: int):
         for batch in batches:
             for name, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 owners.append(name)
-                sets.append(np.frombuffer(block.as_py(), np.uint64))
+                sets.append(mix(np.frombuffer(block.as_py(), np.uint64)))  # least hashes are small: evened over the ranges
                 held += len(sets[-1])
                 if held >= CHUNK_HASHES:
                     yield flush(owners, sets)
@@ -148,7 +150,7 @@ def _post_prefixes(n_ranges: int):
         if held:
             yield flush(owners, sets)
 
-    return run
+    return lean(run)
 
 
 def _shared_counts(n_parts: int):
@@ -168,7 +170,7 @@ def _shared_counts(n_parts: int):
         found = [compress(names[a:b], count[a:b].astype(np.int32)) for a, b in zip(begins, ends, strict=True)]
         return pa.table({"part": pa.array(part[begins].astype(np.int64)), "block": pa.array(found, pa.binary())})
 
-    return run
+    return lean(run)
 
 
 def _sum_counts(group: pa.Table) -> pa.Table:
@@ -205,7 +207,7 @@ def _post(n_ranges: int, column: str, packed: bool):
         if cids:
             yield flush(cids, sets)
 
-    return run
+    return lean(run)
 
 
 def _postings(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +229,7 @@ def _shared(keys: np.ndarray) -> np.ndarray:
 
 def _runs(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the runs of equal values."""
-    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    begins = np.flatnonzero(np.append(np.ones(min(1, len(part)), bool), part[1:] != part[:-1]))
     return begins, np.append(begins[1:], len(part))[: len(begins)]
 
 
@@ -244,22 +246,31 @@ def _full_sets(k: int):
                 blocks = [compress(sets[first[i] : first[i] + sizes[i]]) for i in ok]
                 yield pa.RecordBatch.from_arrays([pa.array(want[0][a:b][ok]), pa.array(sizes[ok]), pa.array(blocks, pa.binary())], ["cid", "n", "block"])
 
-    return run
+    return lean(run)
 
 
-def _frequencies(group: pa.Table) -> pa.Table:
+def _part(cids: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of the classes that each one is in."""
+    return (((mix(cids.view(np.uint64)) >> U(32)) * U(n_parts)) >> U(32)).astype(np.int64)
+
+
+def _frequencies(n_parts: int):
     """How many sets each key of a range is in, told to each class: (keys, frequencies) of two and more."""
-    keys, cids = _postings(group)
-    distinct, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    often = count[back]
-    keep = often > 1
-    keys, cids, often = keys[keep], cids[keep], often[keep]
-    part = cids >> 33
-    order = np.lexsort((keys, cids))
-    keys, cids, often, part = keys[order], cids[order], often[order], part[order]
-    edges, ends = _runs(part)
-    blocks = [compress(cids[a:b], keys[a:b], often[a:b].astype(np.int32)) for a, b in zip(edges, ends, strict=True)]
-    return pa.table({"part": pa.array(part[edges], pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, cids = _postings(group)
+        begins, ends = _runs(keys)
+        often = np.repeat(ends - begins, ends - begins).astype(np.int32)
+        keep = often > 1
+        keys, cids, often = keys[keep], cids[keep], often[keep]
+        part = _part(cids, n_parts)
+        order = np.lexsort((keys, cids, part))
+        keys, cids, often, part = keys[order], cids[order], often[order], part[order]
+        edges, ends = _runs(part)
+        blocks = [compress(cids[a:b], keys[a:b], often[a:b]) for a, b in zip(edges, ends, strict=True)]
+        return pa.table({"part": pa.array(part[edges], pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+    return run
 
 
 def _rarest(percent: int):
@@ -289,7 +300,7 @@ def _rarest(percent: int):
         ok = np.flatnonzero(take > 0)
         return pa.table({"cid": found[ok], "prefix": pa.array([keys[first[i] : first[i] + min(take[i], shared[i])].tobytes() for i in ok], pa.binary())}, schema=schema)
 
-    return run
+    return lean(run)
 
 
 def _spanning(group: pa.Table) -> pa.Table:
@@ -403,7 +414,7 @@ def _links(percent: int):
         root = dict(forest.tolist())
         return pa.table({"cid": cid, "root": np.array([root.get(c, c) for c in cid.tolist()], dtype=np.int64), "links": links})
 
-    return run
+    return lean(run)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -427,27 +438,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n_ranges = max(4, math.ceil((total[1] or 0) / 8 / RANGE_HASHES))
     posted = sketched.where("n > 0").select("s1", "prefix").mapInArrow(_post_prefixes(n_ranges), "bucket int, block binary")
     shared = posted.groupBy("bucket").applyInArrow(_shared_counts(max(4, math.ceil(total[0] / 50_000))), "part long, block binary")
-    shared = shared.groupBy("part").applyInArrow(_sum_counts, "s1 long, shared long").withColumnRenamed("s1", "_s1")
+    shared = shared.groupBy("part").applyInArrow(lean(_sum_counts), "s1 long, shared long").withColumnRenamed("s1", "_s1")
     likely = classes.join(shared, F.col("s1") == F.col("_s1")).where(f"shared >= {least_shared(percent)}")
     chosen = stage.write(likely.select("cid", "n", "s1", "s2", F.col("least").alias("_id")), "likely")
     stage.drop("sketched")
     blocks = "bucket int, chunk long, block binary"
-    texts = rows.join(chosen.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "n", "s1", "s2", "text")
+    wanted = rows.where(id_filter(chosen, "_id")(F.col("doc_id")))
+    texts = wanted.join(chosen.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "n", "s1", "s2", "text")
     sets = stage.write(texts.mapInArrow(_full_sets(words), "cid long, n long, block binary"), "sets")
     if sets.count() != chosen.count():  # ids that several rows bear
         sets = stage.write(sets.dropDuplicates(["cid"]), "distinct_sets")
     n_likely = sets.agg(F.sum("n")).first()[0] or 0
     n_ranges = max(4, math.ceil(n_likely / RANGE_HASHES))
     posted = sets.select("cid", "block").mapInArrow(_post(n_ranges, "block", True), blocks)
-    often = posted.groupBy("bucket").applyInArrow(_frequencies, "part long, block binary")
-    sizes = sets.select("cid", "n").mapInArrow(_size_blocks, "part long, block binary")
+    often = posted.groupBy("bucket").applyInArrow(lean(_frequencies(n_ranges)), "part long, block binary")
+    sizes = sets.select("cid", "n").mapInArrow(_size_blocks(n_ranges), "part long, block binary")
     rare = stage.write(often.unionAll(sizes).groupBy("part").applyInArrow(_rarest(percent), "cid long, prefix binary"), "rare")
     posted = rare.mapInArrow(_post(max(4, n_ranges // 4), "prefix", False), blocks)
-    edges = posted.groupBy("bucket").applyInArrow(_spanning, "a long, b long")
+    edges = posted.groupBy("bucket").applyInArrow(lean(_spanning), "a long, b long")
     together = stage.write(components(edges, stage, "near").select(F.col("node").alias("_node"), F.col("root").alias("comp")), "together")
     work = sets.join(together, F.col("cid") == F.col("_node")).drop("_node")
     work = work.join(classes.select(F.col("cid").alias("_cid"), "copies"), F.col("cid") == F.col("_cid")).drop("_cid")
-    found = stage.write(_tasks(work, together).groupBy("task").applyInArrow(_links(percent), "cid long, root long, links long"), "found")
+    found = stage.write(_tasks(work, together, n_likely, percent).groupBy("task").applyInArrow(_links(percent), "cid long, root long, links long"), "found")
     if together.groupBy("comp").count().where(F.col("count") > BLOCK).isEmpty():  # no component was searched in parts
         linked = found.select(F.col("cid").alias("node"), "root")
     else:
@@ -462,27 +474,41 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _size_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for part in np.unique(cid >> 33):
-            own = (cid >> 33) == part
-            yield pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int64()), pa.array([compress(cid[own], n[own])], pa.binary())], ["part", "block"])
+def _size_blocks(n_parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part = _part(cid, n_parts)
+            for own in np.unique(part):
+                block = compress(cid[part == own], n[part == own])
+                yield pa.RecordBatch.from_arrays([pa.array([int(own)], pa.int64()), pa.array([block], pa.binary())], ["part", "block"])
+
+    return lean(run)
 
 
-def _tasks(work: DataFrame, together: DataFrame) -> DataFrame:
-    """Search tasks: many small components in one, a large one as all pairs of its blocks.
+def _tasks(work: DataFrame, together: DataFrame, n_hashes: int, percent: int) -> DataFrame:
+    """Search tasks: many small components in one, a large one as pairs of its blocks.
 
-    A class of a large component goes to as many tasks as the component has blocks; side 0
-    asks side 1, and a block against itself has one side only.
+    Sets that link have sizes in a ratio of percent at least, so that they are in the same
+    step of the sizes' logarithm or in neighbouring ones. Each step of a large component is
+    dealt into blocks, and a class goes to the blocks of its own and of both neighbouring
+    steps. Side 0 asks side 1, and a block against itself has one side only.
     """
     size = together.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("size"))
     work = work.join(size, F.col("comp") == F.col("_comp")).drop("_comp")
-    k = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), k).cast("int")
     columns = ["comp", "cid", "copies", "block"]
-    small = work.where(F.col("size") <= BLOCK).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(512)).cast("string")).alias("task"), F.lit(0).alias("side"), *columns)
-    large = work.where(F.col("size") > BLOCK).select("*", k.alias("k"), own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    pair = F.concat_ws("-", F.col("comp").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    return small.unionAll(large.select(pair.alias("task"), side.alias("side"), *columns))
+    n_tasks = max(4, math.ceil(n_hashes / TASK_HASHES))
+    small = work.where(F.col("size") <= BLOCK).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(n_tasks)).cast("string")).alias("task"), F.lit(0).alias("side"), *columns)
+    # a little wider than the ratio, for the logarithm's rounding
+    step = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-6)).cast("int")
+    large = work.where(F.col("size") > BLOCK).withColumn("step", step)
+    blocks = large.groupBy(F.col("comp").alias("_comp"), F.col("step").alias("_step")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    aimed = large.withColumn("to", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    own = blocks.select("_comp", "_step", F.col("k").alias("_k")).alias("own")
+    aimed = aimed.join(blocks, (F.col("comp") == F.col("_comp")) & (F.col("to") == F.col("_step"))).drop("_comp", "_step")
+    aimed = aimed.join(own, (F.col("comp") == F.col("_comp")) & (F.col("step") == F.col("_step"))).drop("_comp", "_step")
+    aimed = aimed.select("*", F.pmod(F.xxhash64("cid"), F.col("_k")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    here, there = F.struct("step", "own"), F.struct(F.col("to").alias("step"), F.col("other").alias("own"))
+    name = lambda x: F.concat_ws(".", x["step"].cast("string"), x["own"].cast("string"))
+    pair = F.concat_ws("-", F.col("comp").cast("string"), name(F.least(here, there)), name(F.greatest(here, there)))
+    return small.unionAll(aimed.select(pair.alias("task"), F.when(here <= there, 0).otherwise(1).alias("side"), *columns))

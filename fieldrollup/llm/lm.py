@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldrollup.llm.common import Staging
-from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, mix, slices, text_bytes, word_hashes
+from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, lean, mix, slices, text_bytes, word_hashes
 
 #: Words of a chunk, and words that one key range should hold.
 CHUNK_WORDS, RANGE_WORDS = 1_000_000, 1_500_000
@@ -130,7 +130,7 @@ def make_requests(n_ranges: int):
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary())]))
 
-    return run
+    return lean(run)
 
 
 def answer_range(group: pa.Table) -> pa.Table:
@@ -201,7 +201,7 @@ def tally_held(n_kept: int, vocabulary: int):
         found, n = np.unique(cells, axis=1, return_counts=True)
         return pa.table({"b": found[0], "p2": found[1], "p1": found[2], "n": n.astype(np.int64)})
 
-    return run
+    return lean(run)
 
 
 def learn_weights(cells: np.ndarray, rounds: int = 200, prior: float = 1.0) -> np.ndarray:
@@ -251,7 +251,7 @@ def score_chunk(n_train: int, vocabulary: int, weights: np.ndarray):
             }
         )
 
-    return run
+    return lean(run)
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -273,12 +273,12 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     held = (crc % 5 == 1) if held_out is None else held_out
     part = F.when(held, 0).when(F.pmod(F.xxhash64(crc), F.lit(HELD_EVERY)) == 0, 2).otherwise(1)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), part.cast("int").alias("part"))
-    chunks = stage.write(rows.mapInArrow(make_chunks, CHUNK_SCHEMA), "chunks")
+    chunks = stage.write(rows.mapInArrow(lean(make_chunks), CHUNK_SCHEMA), "chunks")
     sums = chunks.agg(F.sum("n_words"), F.sum("n_train"), F.sum(F.when(F.col("chunk") % 2 == 1, F.col("n_train")))).first()
     n_words, n_train, n_gone = (x or 0 for x in sums)
     n_ranges = max(4, math.ceil(n_words / RANGE_WORDS))
     requests = chunks.select("chunk", "block").mapInArrow(make_requests(n_ranges), "chunk long, bucket int, block binary")
-    answers = requests.groupBy("bucket").applyInArrow(answer_range, "chunk long, bucket int, block binary, n_known long")
+    answers = requests.groupBy("bucket").applyInArrow(lean(answer_range), "chunk long, bucket int, block binary, n_known long")
     answers = stage.write(answers, "answers")
     vocabulary = answers.agg(F.sum("n_known")).first()[0] or 0
     both = chunks.select("chunk", "bucket", "block").unionAll(answers.select("chunk", "bucket", "block"))
