@@ -42,8 +42,9 @@ def balanced_placement(df: DataFrame, bins: int, device_column: str = DEVICE_COL
 
 
 def place_rows(df: DataFrame, placement: DataFrame, bins: int, device_column: str = DEVICE_COLUMN) -> DataFrame:
-    """The rows, each in the Spark partition of its device's bin. The placement is bounded by MAX_PLACED."""
-    small = F.broadcast(placement.select(F.col("device").alias("_placed"), "bin"))
+    """The rows, each in the Spark partition of its device's bin. A placement of more than MAX_PLACED rows isn't broadcast."""
+    small = placement.select(F.col("device").alias("_placed"), "bin")
+    small = F.broadcast(small) if small.limit(MAX_PLACED + 1).count() <= MAX_PLACED else small.hint("merge")
     return df.join(small, df[device_column] == small["_placed"]).drop("_placed").repartitionById(bins, "bin")
 
 

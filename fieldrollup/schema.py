@@ -6,12 +6,13 @@ import datetime as dt
 
 from pyspark.sql import types as T
 
+# Names, separator and first day of the readings, the sensors in output order, and the columns
+# whose nulls never drop a row; below, names and types of the result.
 SEPARATOR = "|"
 DEVICE_COLUMN = "device"
 DATE_COLUMN = "data"
 MONTH_COLUMN = "ano-mes"
 CUTOFF = dt.datetime(2024, 3, 1)
-# The sensors in output order, and the columns whose nulls never drop a row.
 SENSORS = ("temperatura", "umidade", "luminosidade", "ruido", "eco2", "etvoc")
 DROPPED = ("id", "latitude", "longitude")
 

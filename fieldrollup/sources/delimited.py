@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,16 @@ def read_readings(spark: SparkSession, path: str, sep: str = SEPARATOR, check_su
     """A header-first file as all-string columns, one record a line.
 
     Blank lines are skipped, short rows are padded with nulls and long ones cut. A file
-    without any header line raises ``ValueError``; a wrong suffix does too.
+    that is empty, or whose header has no line end, raises ``ValueError``; a wrong suffix does too.
     """
     if check_suffix and not has_csv_suffix(path):
         raise ValueError(f"not a .csv file: {path}")
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding="UTF-8")
     if not df.columns:
         raise ValueError(f"empty file, no header: {path}")
+    # a file without rows is little more than its header: read whole
+    if df.isEmpty() and not spark.read.text(path, wholetext=True).where(~F.contains("value", F.lit("\n"))).isEmpty():
+        raise ValueError(f"the header has no line end: {path}")
     return df
 
 
@@ -42,9 +47,14 @@ def header_index(header: str, name: str = DEVICE_COLUMN, sep: str = SEPARATOR) -
     return names.index(name) if name in names else -1
 
 
-def summary(spark: SparkSession, readings: DataFrame, device_column: str = DEVICE_COLUMN) -> DataFrame:
-    """One row: data rows, distinct devices, the header and the default parallelism."""
-    header = SEPARATOR.join(readings.columns)
+def summary(spark: SparkSession, readings: DataFrame, device_column: str = DEVICE_COLUMN, sep: str = SEPARATOR) -> DataFrame:
+    """One row: data rows, distinct devices, the header, the bytes of header and rows as delimited text, the default parallelism."""
+    header = sep.join(readings.columns)
+    cells = [F.octet_length(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in readings.columns]
+    row_size = reduce(lambda a, b: a + b, cells) + (len(cells) - 1) * len(sep.encode()) + 1
     return readings.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(device_column).alias("n_devices")
-    ).select("n_rows", "n_devices", F.lit(header).alias("header"), F.lit(spark.sparkContext.defaultParallelism).alias("parallelism"))
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(device_column).alias("n_devices"), F.coalesce(F.sum(row_size), F.lit(0)).cast("bigint").alias("data_size"),
+    ).select(
+        "n_rows", "n_devices", F.lit(header).alias("header"), F.lit(len(header.encode())).cast("bigint").alias("header_size"), "data_size",
+        F.lit(spark.sparkContext.defaultParallelism).alias("parallelism"),
+    )

@@ -13,9 +13,10 @@ from fieldrollup.operators.clean import clean_readings
 from fieldrollup.operators.rollup import monthly_rollup
 from fieldrollup.plans.report import rollup_file, run_report
 from fieldrollup.schema import ROLLUP_SCHEMA, SENSORS
-from fieldrollup.sources.delimited import has_csv_suffix, header_index, read_lines, read_readings
+from fieldrollup.sources.delimited import has_csv_suffix, header_index, read_lines, read_readings, summary
 from fieldrollup.streaming.rollup_stream import stream_readings, stream_rollup
 
+# Fixed value: the header of the readings.
 HEADER = "id|device|contagem|data|temperatura|umidade|luminosidade|ruido|eco2|etvoc|latitude|longitude"
 ROWS = [
     "1|d1|10|2024-03-01 00:00:00.1|20.5|50|1|2|400|10||",
@@ -64,7 +65,9 @@ def test_crlf_and_rows_of_other_lengths(spark, tmp_path):
 
 
 def test_columns_missing(spark, tmp_path):
-    assert rollup_file(spark, write(tmp_path, HEADER)).count() == 0
+    assert rollup_file(spark, write(tmp_path, HEADER + "\n")).count() == 0
+    with pytest.raises(ValueError, match="line end"):
+        rollup_file(spark, write(tmp_path, HEADER, "cut.csv"))
     none = rollup_file(spark, write(tmp_path, "data|ruido\n2024-04-01|1", "n.csv"))
     assert none.count() == 0 and none.schema == ROLLUP_SCHEMA
     with pytest.raises(ValueError):
@@ -104,8 +107,10 @@ def test_designs_agree(spark, golden):
 
 def test_output(spark, golden, tmp_path):
     out = tmp_path / "result.csv"
+    out.write_text("old")
     steps = run_report(spark, golden, str(out))
-    assert "total" in steps
+    assert list(steps) == ["open", "devices", "plan", "process", "write", "total"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["in.csv", "result.csv"]
     text = out.read_text().splitlines()
     assert text[0] == "device,ano-mes,sensor,valor_maximo,valor_medio,valor_minimo" and len(text) == 19
     assert main([golden, "--show"]) == 0
@@ -131,6 +136,17 @@ def test_header():
     assert has_csv_suffix("a.b.csv") and not has_csv_suffix("a.CSV")
 
 
+def test_summary(spark, golden, tmp_path):
+    rows = [r for r in ROWS if r and '"' not in r]
+    path = write(tmp_path, "\n".join([HEADER, *rows]) + "\n", "s.csv")
+    found = summary(spark, read_readings(spark, path)).first()
+    assert (found["n_rows"], found["n_devices"]) == (len(rows), 3)
+    assert found["header_size"] == len(HEADER) and found["data_size"] == sum(len(r) + 1 for r in rows)
+    assert found["parallelism"] == spark.sparkContext.defaultParallelism
+    wide = summary(spark, spark.createDataFrame([("a", None)], "device string, x string"), sep="::").first()
+    assert wide["header"] == "device::x" and wide["data_size"] == 4
+
+
 def test_placement(spark):
     counts = [(f"d{i}", n) for i, n in enumerate([7, 5, 4, 4, 3, 1])]
     for m in (1, 2, 3):
