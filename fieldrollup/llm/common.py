@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,22 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldrollup.sources.shared import shared_folder
+
 # The characters that part words, and a word, in Java's and Python's regex.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+#: Rows of a file of a table of short rows. Many little files cost more than the rows in them.
+FILE_ROWS = 1_000_000
 
-    Only where that is unset, as in a local session, a folder of our own is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_folder", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="fieldrollup-")
-        spark._own_shared_folder = folder
-    return folder.rstrip("/")
+
+def files(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
 
 
 class Staging:
@@ -39,10 +36,14 @@ class Staging:
         self.paths: dict[str, str] = {}
         spark._staged = [*staged(spark), self.root]
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes and reads again. rows: a bound of small rows, which then go into few files."""
         path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        df = df if rows is None else df.repartition(files(rows))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self.paths:  # whatever isn't swept before goes with the application
+            root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         self.paths[name] = path
         return self.read(name, df)
 

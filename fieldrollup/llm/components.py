@@ -10,16 +10,17 @@ from fieldrollup.llm.common import Staging
 MAX_ROUNDS = 60
 
 
-def components(edges: DataFrame, stage: Staging, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, stage: Staging, name: str = "components", rows: int | None = None) -> DataFrame:
     """(node, root): every node that an edge (a, b) names, with the smallest node it is connected to.
 
     Each round links all larger neighbours of a node to its smallest one (large star), then
     all smaller ones (small star), until nothing changes; rounds grow with the logarithm of
     the nodes. Rounds are written to the shared folder. No list of neighbours is ever
     gathered: a node's minimum is an aggregate, and handing it back is a join that AQE splits.
+    rows: about how many edges there are, for the number of files.
     """
     clean = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, k = stage.write(clean, f"{name}0"), 0
+    current, k = stage.write(clean, f"{name}0", rows), 0
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -34,7 +35,7 @@ def components(edges: DataFrame, stage: Staging, name: str = "components") -> Da
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         k += 1
-        current = stage.write(small, f"{name}{k}")
+        current = stage.write(small, f"{name}{k}", last[0])
         stage.drop(f"{name}{k - 1}")
         now = mark(current)
         if now == last:

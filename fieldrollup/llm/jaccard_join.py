@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldrollup.llm.common import Staging, id_filter
+from fieldrollup.llm.common import Staging, files, id_filter
 from fieldrollup.llm.components import components
 from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, lean, mix, slices, text_bytes, word_hashes
 
@@ -425,49 +425,52 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the smallest doc_id reachable by links, itself included (null ids only where no other is
     reachable). n_links: other rows that it links with, copies included. Repeated rows are
     copies of each other. An empty table gives an empty result; further columns aren't
-    looked at.
+    looked at. Ids are integers. A text's shingles are sorted in memory, about 100 bytes a word.
     """
     spark = df.sparkSession
     stage = Staging(spark, "jaccard")
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketched = stage.write(rows.mapInArrow(_sketch(words, percent), "doc_id long, n long, s1 long, s2 long, prefix binary"), "sketched")
-    docs = stage.write(sketched.select("doc_id", "n", "s1", "s2"), "docs")
-    same = docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    classes = stage.write(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    docs = sketched.select("doc_id", "n", "s1", "s2")
     total = sketched.agg(F.count(F.lit(1)), F.sum(F.length("prefix"))).first()
+    same = docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    classes = stage.write(same.repartition(files(total[0])).withColumn("cid", F.monotonically_increasing_id()), "classes")
     n_ranges = max(4, math.ceil((total[1] or 0) / 8 / RANGE_HASHES))
     posted = sketched.where("n > 0").select("s1", "prefix").mapInArrow(_post_prefixes(n_ranges), "bucket int, block binary")
     shared = posted.groupBy("bucket").applyInArrow(_shared_counts(max(4, math.ceil(total[0] / 50_000))), "part long, block binary")
     shared = shared.groupBy("part").applyInArrow(lean(_sum_counts), "s1 long, shared long").withColumnRenamed("s1", "_s1")
     likely = classes.join(shared, F.col("s1") == F.col("_s1")).where(f"shared >= {least_shared(percent)}")
-    chosen = stage.write(likely.select("cid", "n", "s1", "s2", F.col("least").alias("_id")), "likely")
-    stage.drop("sketched")
+    chosen = stage.write(likely.select("cid", "n", "s1", "s2", F.col("least").alias("_id")), "likely", total[0])
     blocks = "bucket int, chunk long, block binary"
     wanted = rows.where(id_filter(chosen, "_id")(F.col("doc_id")))
     texts = wanted.join(chosen.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "n", "s1", "s2", "text")
     sets = stage.write(texts.mapInArrow(_full_sets(words), "cid long, n long, block binary"), "sets")
-    if sets.count() != chosen.count():  # ids that several rows bear
+    n_sets = chosen.count()
+    if sets.count() != n_sets:  # ids that several rows bear
         sets = stage.write(sets.dropDuplicates(["cid"]), "distinct_sets")
     n_likely = sets.agg(F.sum("n")).first()[0] or 0
     n_ranges = max(4, math.ceil(n_likely / RANGE_HASHES))
     posted = sets.select("cid", "block").mapInArrow(_post(n_ranges, "block", True), blocks)
     often = posted.groupBy("bucket").applyInArrow(lean(_frequencies(n_ranges)), "part long, block binary")
     sizes = sets.select("cid", "n").mapInArrow(_size_blocks(n_ranges), "part long, block binary")
-    rare = stage.write(often.unionAll(sizes).groupBy("part").applyInArrow(_rarest(percent), "cid long, prefix binary"), "rare")
+    rare = stage.write(often.unionAll(sizes).groupBy("part").applyInArrow(_rarest(percent), "cid long, prefix binary"), "rare", n_sets)
     posted = rare.mapInArrow(_post(max(4, n_ranges // 4), "prefix", False), blocks)
     edges = posted.groupBy("bucket").applyInArrow(lean(_spanning), "a long, b long")
-    together = stage.write(components(edges, stage, "near").select(F.col("node").alias("_node"), F.col("root").alias("comp")), "together")
-    work = sets.join(together, F.col("cid") == F.col("_node")).drop("_node")
-    work = work.join(classes.select(F.col("cid").alias("_cid"), "copies"), F.col("cid") == F.col("_cid")).drop("_cid")
-    found = stage.write(_tasks(work, together, n_likely, percent).groupBy("task").applyInArrow(_links(percent), "cid long, root long, links long"), "found")
+    together = stage.write(components(edges, stage, "near", n_sets).select(F.col("node").alias("_node"), F.col("root").alias("comp")), "together", n_sets)
+    member = sets.select("cid", "n").join(together, F.col("cid") == F.col("_node")).drop("_node")
+    member = member.join(classes.select(F.col("cid").alias("_cid"), "copies"), F.col("cid") == F.col("_cid")).drop("_cid")
+    # the sets themselves meet only their tasks
+    packed = sets.select(F.col("cid").alias("_cid"), "block").hint("merge")
+    work = _tasks(member, n_likely, percent).join(packed, F.col("cid") == F.col("_cid")).drop("_cid")
+    found = stage.write(work.groupBy("task").applyInArrow(_links(percent), "cid long, root long, links long"), "found", n_sets)
     if together.groupBy("comp").count().where(F.col("count") > BLOCK).isEmpty():  # no component was searched in parts
         linked = found.select(F.col("cid").alias("node"), "root")
     else:
-        linked = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), stage, "linked")
+        linked = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), stage, "linked", n_sets)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     member = classes.join(links.withColumnRenamed("cid", "_cid"), F.col("cid") == F.col("_cid"), "left").drop("_cid")
     member = member.join(linked, F.col("cid") == F.col("node"), "left").select("n", "s1", "s2", "copies", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    member = stage.write(member, "member")
+    member = stage.write(member, "member", total[0])
     least = member.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
     member = member.join(least, F.col("root") == F.col("_root")).select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "component_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     out = docs.select("doc_id", "n", "s1", "s2").join(member, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left")
@@ -486,29 +489,32 @@ def _size_blocks(n_parts: int):
     return lean(run)
 
 
-def _tasks(work: DataFrame, together: DataFrame, n_hashes: int, percent: int) -> DataFrame:
-    """Search tasks: many small components in one, a large one as pairs of its blocks.
+def _tasks(member: DataFrame, n_hashes: int, percent: int) -> DataFrame:
+    """(task, side, comp, cid, copies) for the classes (cid, n, comp, copies): many small components
+    in one search task, a large one as pairs of its blocks.
 
     Sets that link have sizes in a ratio of percent at least, so that they are in the same
     step of the sizes' logarithm or in neighbouring ones. Each step of a large component is
     dealt into blocks, and a class goes to the blocks of its own and of both neighbouring
     steps. Side 0 asks side 1, and a block against itself has one side only.
     """
-    size = together.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("size"))
-    work = work.join(size, F.col("comp") == F.col("_comp")).drop("_comp")
-    columns = ["comp", "cid", "copies", "block"]
+    size = member.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("size"))
+    member = member.join(size, F.col("comp") == F.col("_comp")).drop("_comp")
+    columns = ["comp", "cid", "copies"]
     n_tasks = max(4, math.ceil(n_hashes / TASK_HASHES))
-    small = work.where(F.col("size") <= BLOCK).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(n_tasks)).cast("string")).alias("task"), F.lit(0).alias("side"), *columns)
+    small = member.where(F.col("size") <= BLOCK).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(n_tasks)).cast("string")).alias("task"), F.lit(0).alias("side"), *columns)
     # a little wider than the ratio, for the logarithm's rounding
     step = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-6)).cast("int")
-    large = work.where(F.col("size") > BLOCK).withColumn("step", step)
-    blocks = large.groupBy(F.col("comp").alias("_comp"), F.col("step").alias("_step")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    aimed = large.withColumn("to", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    own = blocks.select("_comp", "_step", F.col("k").alias("_k")).alias("own")
-    aimed = aimed.join(blocks, (F.col("comp") == F.col("_comp")) & (F.col("to") == F.col("_step"))).drop("_comp", "_step")
-    aimed = aimed.join(own, (F.col("comp") == F.col("_comp")) & (F.col("step") == F.col("_step"))).drop("_comp", "_step")
-    aimed = aimed.select("*", F.pmod(F.xxhash64("cid"), F.col("_k")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    here, there = F.struct("step", "own"), F.struct(F.col("to").alias("step"), F.col("other").alias("own"))
+    large = member.where(F.col("size") > BLOCK).withColumn("step", step)
+    blocks = large.groupBy("comp", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    # each step's blocks, with those of the steps beside it: one row for each step of a large component
+    near = [blocks.select(F.col("comp").alias("_comp"), (F.col("step") + d).alias("_step"), F.struct(F.col("step").alias("to"), "k").alias("aim")) for d in (-1, 0, 1)]
+    near = near[0].unionAll(near[1]).unionAll(near[2]).groupBy("_comp", "_step").agg(F.collect_list("aim").alias("aims"))  # three at most
+    aimed = large.join(near, (F.col("comp") == F.col("_comp")) & (F.col("step") == F.col("_step"))).drop("_comp", "_step")
+    own_k = F.element_at(F.filter("aims", lambda x: x["to"] == F.col("step")), 1)["k"]
+    aimed = aimed.withColumn("own", F.pmod(F.xxhash64("cid"), own_k).cast("int"))
+    every = F.flatten(F.transform("aims", lambda x: F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda i: F.struct(x["to"].alias("step"), i.alias("own")))))
+    aimed = aimed.withColumn("there", F.explode(every)).withColumn("here", F.struct("step", "own"))
     name = lambda x: F.concat_ws(".", x["step"].cast("string"), x["own"].cast("string"))
-    pair = F.concat_ws("-", F.col("comp").cast("string"), name(F.least(here, there)), name(F.greatest(here, there)))
-    return small.unionAll(aimed.select(pair.alias("task"), F.when(here <= there, 0).otherwise(1).alias("side"), *columns))
+    pair = F.concat_ws("-", F.col("comp").cast("string"), name(F.least("here", "there")), name(F.greatest("here", "there")))
+    return small.unionAll(aimed.select(pair.alias("task"), F.when(F.col("here") <= F.col("there"), 0).otherwise(1).alias("side"), *columns))
