@@ -10,8 +10,8 @@ more pass, every pass in its own seeded order.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,50 +19,52 @@ from pyspark.sql.window import Window
 
 from fieldrollup.llm.common import Staging, text_or_empty, words
 
-#: Leaves that the driver budgets at most: one (path, tokens, rows) row each.
+#: Leaves whose plan is broadcast at most, one short row each; a larger plan is joined by a shuffle.
 MAX_LEAVES = 200_000
 #: Rows of a run within which prefix sums are taken.
 RUN_ROWS = 100_000
 
 
-def fill(capacity: Mapping[tuple, int], weights: Mapping[tuple, float], budget: float) -> dict[tuple, float]:
-    """Tokens of each leaf. capacity: by path; weights: by path prefix, 1 where none is given.
+def budgets(leaves: DataFrame, names: Sequence[str], weights: Mapping[tuple, float], budget: float, max_epochs: int) -> DataFrame:
+    """The leaves (names, t tokens, n rows) with ``given``, the tokens that each one gives.
 
-    A node's share is its parent's times its part of the siblings' weights. Shortages are
-    levelled among siblings, round by round, before what is left goes up.
+    From the root down, a node's tokens go to its children by their weights (by path prefix, 1
+    where none is given), and no child gets more than its room, its tokens max_epochs times.
+    What a child can't take its siblings share, by their weights again, and only what all of them
+    can't take goes up. Children fill in the order of room over weight: those before the
+    first that isn't filled are full, and the others share the rest at one level.
     """
-    children: dict[tuple, list[tuple]] = defaultdict(list)
-    room: dict[tuple, float] = defaultdict(float)
-    for path, tokens in sorted(capacity.items(), key=repr):
-        for k in range(len(path) + 1):
-            if k and path[:k] not in children[path[: k - 1]]:
-                children[path[: k - 1]].append(path[:k])
-            room[path[:k]] += tokens
-    out: dict[tuple, float] = {}
+    spark = leaves.sparkSession
+    roof = leaves.agg(F.sum("t") * max_epochs).first()[0] or 0
+    given, keys = None, []
+    for depth, name in enumerate(names, 1):
+        above, keys = keys, [*keys, name]
+        nodes = leaves.groupBy(*keys).agg((F.sum("t") * max_epochs).cast("double").alias("room"))
+        own = [(*(None if x is None else str(x) for x in path), float(w)) for path, w in weights.items() if len(path) == depth]
+        listed = spark.createDataFrame(own, ", ".join(f"_{k} string" for k in keys) + ", weight double")
+        nodes = nodes.join(F.broadcast(listed), _same(keys), "left").drop(*[f"_{k}" for k in keys])  # the caller's table
+        nodes = nodes.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        if given is None:
+            nodes = nodes.withColumn("given", F.lit(float(min(budget, roof))))
+        else:
+            nodes = nodes.join(given.select(*[F.col(k).alias(f"_{k}") for k in above], "given"), _same(above)).drop(*[f"_{k}" for k in above])
+        live = (F.col("room") > 0) & (F.col("weight") > 0)
+        nodes = nodes.withColumn("ratio", F.when(live, F.col("room") / F.col("weight")))
+        order = Window.partitionBy(*above).orderBy(F.asc_nulls_last("ratio"), *keys)
+        before = F.coalesce(F.sum(F.when(live, F.col("room"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum(F.when(live, F.col("weight"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+        nodes = nodes.withColumn("level", F.when(live, (F.col("given") - before) / rest))
+        full = F.col("ratio") <= F.col("level")
+        level = F.max(F.when(~full, F.greatest("level", F.lit(0.0)))).over(Window.partitionBy(*above))
+        share = F.when(~live, 0.0).when(full, F.col("room")).otherwise(level * F.col("weight"))
+        given = nodes.select(*keys, share.alias("share")).withColumnRenamed("share", "given")
+    own = given.select(*[F.col(k).alias(f"_{k}") for k in keys], "given")
+    return leaves.join(own, _same(keys)).drop(*[f"_{k}" for k in keys])
 
-    def give(node: tuple, tokens: float) -> None:
-        if node not in children:
-            out[node] = tokens
-            return
-        share = dict.fromkeys(children[node], 0.0)
-        open_, left = {c for c in share if room[c] > 0 and weights.get(c, 1.0) > 0}, min(tokens, room[node])
-        while open_ and left > 1e-6:
-            total = sum(weights.get(c, 1.0) for c in open_)
-            full = {c for c in open_ if share[c] + left * weights.get(c, 1.0) / total >= room[c]}
-            if not full:
-                for c in open_:
-                    share[c] += left * weights.get(c, 1.0) / total
-                break
-            for c in full:
-                left -= room[c] - share[c]
-                share[c] = room[c]
-            open_ -= full
-        for c in share:
-            give(c, share[c])
 
-    if capacity:
-        give((), float(budget))
-    return out
+def _same(names: Sequence[str]) -> Column:
+    """Equal paths; a null is a value of its own."""
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
 
 
 def mix(
@@ -94,26 +96,23 @@ def mix(
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     text = text_or_empty(text_col)
     keyed = df.select(
-        whole, *[F.coalesce(e.cast("string"), F.lit("\0null")).alias(n) for n, e in levels], F.size(words(text)).cast("bigint").alias("n_tokens"),
+        whole, *[e.cast("string").alias(n) for n, e in levels], F.size(words(text)).cast("bigint").alias("n_tokens"),
         F.xxhash64(F.col(f"`{id_col}`"), text).alias("own"),
     )
-    small = stage.write(keyed.select(*names, "n_tokens", "own"), "keys")
-    leaves = small.groupBy(*names).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    tokens = {tuple(r[n] for n in names): r["t"] for r in leaves}
-    wish = sum(tokens.values()) if budget is None else budget
-    given = fill({p: t * max_epochs for p, t in tokens.items()}, weights, wish)
-    plan = []
-    for path, t in given.items():
-        full = min(max_epochs, math.floor(t / tokens[path] + 1e-9)) if tokens[path] else int(t > 0)
-        plan.append((*path, full, float(t - full * tokens[path])))
-    runs = max(1, math.ceil(max((r["n"] for r in leaves), default=0) / RUN_ROWS))
-    schema = ", ".join(f"_{n} string" for n in names) + ", full int, rest double"
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # MAX_LEAVES rows at most
-    match = [F.col(n) == F.col(f"_{n}") for n in names]
+    n_rows = df.count()
+    small = stage.write(keyed.select(*names, "n_tokens", "own"), "keys", n_rows)
+    leaves = stage.write(small.groupBy(*names).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")), "leaves", n_rows)
+    n_leaves, wish, largest = leaves.agg(F.count(F.lit(1)), F.sum("t"), F.max("n")).first()
+    plan = budgets(leaves, names, weights, (wish or 0) if budget is None else budget, max_epochs)
+    full = F.least(F.floor(F.col("given") / F.col("t") + 1e-9), F.lit(max_epochs))
+    plan = plan.withColumn("full", F.when(F.col("t") > 0, full).otherwise((F.col("given") > 0).cast("int")).cast("int"))
+    plan = plan.withColumn("rest", F.col("given") - F.col("full") * F.col("t"))
+    plan = stage.write(plan.select(*[F.col(n).alias(f"_{n}") for n in names], "full", "rest"), "plan", n_leaves)
+    attach = F.broadcast if n_leaves <= MAX_LEAVES else lambda df: df
+    match = _same(names)
+    runs = max(1, math.ceil((largest or 0) / RUN_ROWS))
     order = F.xxhash64("own", "full", F.lit(seed))
-    last = small.join(plan_df, match).where("full < 0 or rest >= 0.5").select(*names, "n_tokens", "own", "rest", order.alias("place"))
+    last = small.join(attach(plan), match).where("rest >= 0.5").select(*names, "n_tokens", "own", "rest", order.alias("place"))
     last = last.withColumn("run", F.floor(F.shiftrightunsigned("place", 1).cast("double") / F.lit(float(1 << 63)) * runs).cast("int"))
     # the place decides order; its unsigned value is compared through the sign bit
     sums = last.groupBy(*names, "run").agg(F.sum("n_tokens").alias("t"))
@@ -121,15 +120,13 @@ def mix(
     sums = sums.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("run").alias("_run"), F.coalesce(above, F.lit(0)).alias("above"))
     inside = F.sum("n_tokens").over(Window.partitionBy(*names, "run").orderBy(F.expr("place < 0"), "place", "own", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
     summed = last.withColumn("before", F.coalesce(inside, F.lit(0)))
-    cut = summed.join(sums, [*match, F.col("run") == F.col("_run")]).where(F.col("above") + F.col("before") < F.col("rest"))
+    cut = summed.join(sums, match & (F.col("run") == F.col("_run"))).where(F.col("above") + F.col("before") < F.col("rest"))
     # a leaf's prefix ends at one place: the largest that is in
     edge = cut.groupBy(*names).agg(F.max(F.struct(F.expr("place < 0").alias("high"), F.col("place").alias("at"))).alias("edge"))
-    edge = edge.select(*[F.col(n).alias(f"e_{n}") for n in names], "edge").collect()
-    ends = {tuple(r[f"e_{n}"] for n in names): (r["edge"]["high"], r["edge"]["at"]) for r in edge}
-    plan = [(*p[: len(names)], p[-2], *ends.get(p[: len(names)], (None, None))) for p in plan]
-    plan_df = F.broadcast(spark.createDataFrame(plan, ", ".join(f"_{n} string" for n in names) + ", full int, high boolean, at long"))
+    edge = edge.select(*[F.col(n).alias(n) for n in names], "edge")
+    plan = stage.write(plan.join(edge, match, "left").select(*[f"_{n}" for n in names], "full", "edge"), "passes", n_leaves)
     place = F.xxhash64("own", "full", F.lit(seed))
-    inside = F.struct((place < 0).alias("high"), place.alias("at")) <= F.struct(F.col("high"), F.col("at"))
-    times = F.col("full") + F.when(F.col("at").isNotNull() & inside, 1).otherwise(0)
-    taken = keyed.join(plan_df, match).withColumn("times", times).where("times > 0")
+    inside = F.struct((place < 0).alias("high"), place.alias("at")) <= F.col("edge")
+    times = F.col("full") + F.when(F.col("edge").isNotNull() & inside, 1).otherwise(0)
+    taken = keyed.join(attach(plan), match).withColumn("times", times).where("times > 0")
     return taken.select("row", *names, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"))
