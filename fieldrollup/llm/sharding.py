@@ -132,18 +132,19 @@ def shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint").alias("key"),
     )
-    rows = stage.write(rows, "rows")
-    groups = stage.write(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
+    n_rows = df.count()
+    rows = stage.write(rows, "rows", n_rows)
+    groups = stage.write(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups", n_rows)
     cuts = minimax_cuts(groups, n_shards)
-    salts = max(16, math.ceil(rows.count() / (n_shards * CELL_ROWS)))
+    salts = max(16, math.ceil(n_rows / (n_shards * CELL_ROWS)))
     placed = rows.select("doc_id", "size", "text_crc32", shard_of(F.col("key"), cuts).alias("shard"), F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)).alias("salt"))
     counts = placed.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col("shard").alias("_shard"), F.col("salt").alias("_salt"), F.coalesce(before, F.lit(0)).alias("start"))
     number = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "size"))
     numbered = placed.withColumn("number", number)
-    # n_shards * salts rows, a bounded table
-    out = numbered.join(F.broadcast(starts), (F.col("shard") == F.col("_shard")) & (F.col("salt") == F.col("_salt")))
+    # one row for each CELL_ROWS rows, on the keys that the numbers are dealt by
+    out = numbered.join(starts, (F.col("shard") == F.col("_shard")) & (F.col("salt") == F.col("_salt")))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("number") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
