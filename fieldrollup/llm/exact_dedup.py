@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldrollup.llm.common import Staging, text_or_empty, without_spaces
+from fieldrollup.llm.common import Staging, files, text_or_empty, without_spaces
 
 #: Bytes of the digits by round; the last width repeats until all groups are closed.
 WIDTHS = (64, 4096, 65536, 1 << 20)
@@ -34,7 +34,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     column only.
     """
     spark = df.sparkSession
-    stage = Staging(spark, "radix")
+    stage, n_files = Staging(spark, "radix"), files(df.count())
     text = text_or_empty(text_col)
     body = without_spaces(text)
     first = widths[0]
@@ -44,7 +44,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "n_chars", F.octet_length("body").cast("bigint").alias("n_left"), F.sha2("body", 256).alias("text_sha256"),
         F.substring(F.col("body").cast("binary"), 1, first).alias("digit"), F.col("body").cast("binary").alias("body"),
     )
-    opened = rows.groupBy("n_left", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    opened = rows.groupBy("n_left", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").repartition(n_files)
     opened = stage.write(opened.select(F.col("n_left").alias("_len"), F.col("digit").alias("_digit"), F.monotonically_increasing_id().alias("gid")), "open0")
     # a merge join at every size: the open digits grow with the input and are never broadcast
     joined = rows.join(opened.hint("merge"), (F.col("n_left") == F.col("_len")) & (F.col("digit") == F.col("_digit")), "left")
@@ -64,7 +64,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         k += 1
         width = widths[min(k, len(widths) - 1)]
         digits = state.withColumn("digit", F.substring("rest", 1, width))
-        found = digits.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = digits.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").repartition(n_files)
         found = stage.write(found.select(F.col("gid").alias("_gid"), F.col("digit").alias("_digit"), F.monotonically_increasing_id().alias("new")), f"open{k}")
         split = digits.join(found.hint("merge"), (F.col("gid") == F.col("_gid")) & (F.col("digit") == F.col("_digit")), "left").select(
             *columns, F.col("new").alias("gid"), (F.col("n_left") - width).alias("n_left"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldrollup.llm.common import Staging
-from fieldrollup.llm.tokens import U, buckets_of, compress, decompress, lean, mix, slices, text_bytes, word_hashes
+from fieldrollup.llm.tokens import SLICE_BYTES, U, buckets_of, compress, decompress, lean, mix, slices, text_bytes, word_hashes
 
 #: Words of a chunk, and words that one key range should hold.
 CHUNK_WORDS, RANGE_WORDS = 1_000_000, 1_500_000
@@ -64,43 +64,47 @@ def _chunk(key: int, hashes: list[np.ndarray], counts: list[np.ndarray], ids: li
     return {"chunk": key, "bucket": -1, "block": block, "n_words": int(n.sum()), "n_train": int(n[t > 0].sum())}
 
 
-def make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def make_chunks(chunk_words: int):
     """Rows (doc_id, text, part) as chunks. part: 0 held out from training, 1 training, 2 training but
     deleted for the weights; the last go into chunks of their own, with odd keys."""
-    from pyspark import TaskContext
-
-    base, made = TaskContext.get().partitionId() << 24, 0
-    pending = {odd: ([], [], [], []) for odd in (0, 1)}
-
-    def flush(odd: int) -> pa.RecordBatch:
-        nonlocal made
-        row = _chunk((base + made) * 2 + odd, *pending[odd])
-        made += 1
-        pending[odd] = ([], [], [], [])
-        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary()), ("n_words", pa.int64()), ("n_train", pa.int64())]))
-
-    for batch in batches:
-        raw, offsets = text_bytes(batch.column(1))
-        ids, part = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-        for a, b in slices(offsets):
-            h, n = word_hashes(raw, offsets[a : b + 1])
-            ends = np.cumsum(n)
-            h = np.insert(h, ends, END)
-            n = n + 1
-            for odd in (0, 1):
-                chosen = (part[a:b] == 2) == bool(odd)
-                if not chosen.any():
-                    continue
-                hashes, counts, names, train = pending[odd]
-                hashes.append(h[np.repeat(chosen, n)])
-                counts.append(n[chosen])
-                names.extend(i for i, c in zip(ids[a:b], chosen, strict=True) if c)
-                train.append(part[a:b][chosen])
-                if sum(map(len, hashes)) >= CHUNK_WORDS:
-                    yield flush(odd)
-    for odd in (0, 1):
-        if pending[odd][1]:
-            yield flush(odd)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, made = TaskContext.get().partitionId() << 24, 0
+        pending = {odd: ([], [], [], []) for odd in (0, 1)}
+
+        def flush(odd: int) -> pa.RecordBatch:
+            nonlocal made
+            row = _chunk((base + made) * 2 + odd, *pending[odd])
+            made += 1
+            pending[odd] = ([], [], [], [])
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary()), ("n_words", pa.int64()), ("n_train", pa.int64())]))
+
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            ids, part = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in slices(offsets, min(SLICE_BYTES, 2 * chunk_words)):
+                h, n = word_hashes(raw, offsets[a : b + 1])
+                ends = np.cumsum(n)
+                h = np.insert(h, ends, END)
+                n = n + 1
+                for odd in (0, 1):
+                    chosen = (part[a:b] == 2) == bool(odd)
+                    if not chosen.any():
+                        continue
+                    hashes, counts, names, train = pending[odd]
+                    hashes.append(h[np.repeat(chosen, n)])
+                    counts.append(n[chosen])
+                    names.extend(i for i, c in zip(ids[a:b], chosen, strict=True) if c)
+                    train.append(part[a:b][chosen])
+                    if sum(map(len, hashes)) >= chunk_words:
+                        yield flush(odd)
+        for odd in (0, 1):
+            if pending[odd][1]:
+                yield flush(odd)
+
+    return lean(run)
 
 
 def _read_chunk(block: bytes) -> dict:
@@ -257,7 +261,7 @@ def score_chunk(n_train: int, vocabulary: int, weights: np.ndarray):
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, chunk_words: int = CHUNK_WORDS, range_words: int = RANGE_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each input row.
 
     held_out: a boolean column of the rows not to learn from; by default those with
@@ -265,7 +269,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     token, so that null and empty texts have one token. A null id counts as the empty text
     for its checksum and stays null. Repeated rows are learned from and scored each. Without
     training text all counts are 0 and every token has the same score; an empty table gives
-    an empty result. Further columns aren't looked at.
+    an empty result. Further columns aren't looked at. Ids are integers. A chunk holds whole
+    texts, about chunk_words words of them; a longer text is a chunk of its own.
     """
     spark = df.sparkSession
     stage = Staging(spark, "lm")
@@ -273,10 +278,10 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     held = (crc % 5 == 1) if held_out is None else held_out
     part = F.when(held, 0).when(F.pmod(F.xxhash64(crc), F.lit(HELD_EVERY)) == 0, 2).otherwise(1)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), part.cast("int").alias("part"))
-    chunks = stage.write(rows.mapInArrow(lean(make_chunks), CHUNK_SCHEMA), "chunks")
+    chunks = stage.write(rows.mapInArrow(make_chunks(chunk_words), CHUNK_SCHEMA), "chunks")
     sums = chunks.agg(F.sum("n_words"), F.sum("n_train"), F.sum(F.when(F.col("chunk") % 2 == 1, F.col("n_train")))).first()
     n_words, n_train, n_gone = (x or 0 for x in sums)
-    n_ranges = max(4, math.ceil(n_words / RANGE_WORDS))
+    n_ranges = max(4, math.ceil(n_words / range_words))
     requests = chunks.select("chunk", "block").mapInArrow(make_requests(n_ranges), "chunk long, bucket int, block binary")
     answers = requests.groupBy("bucket").applyInArrow(lean(answer_range), "chunk long, bucket int, block binary, n_known long")
     answers = stage.write(answers, "answers")

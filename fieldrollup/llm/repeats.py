@@ -479,15 +479,15 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are UTF-8 bytes; null is empty. Strings are judged on the input, may overlap, never
     cross texts, and may repeat within one. Texts shorter than ``length`` keep all. Repeated
     rows are copies of each other, so that from ``length`` bytes on they lose all. Null ids
-    stay null. An empty table gives an empty result; further columns aren't looked at.
+    stay null. An empty table gives an empty result; further columns aren't looked at. Ids are integers.
     """
     if length % step or gram > length:
         raise ValueError("step must divide length, and gram be at most length")
     spark = df.sparkSession
-    stage = Staging(spark, "repeats")
+    stage, n_rows = Staging(spark, "repeats"), df.count()
     text = text_or_empty(text_col)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    docs = stage.write(rows.select("doc_id", "sha", F.octet_length("text").cast("bigint").alias("n_bytes")), "docs")
+    docs = stage.write(rows.select("doc_id", "sha", F.octet_length("text").cast("bigint").alias("n_bytes")), "docs", n_rows)
     n_bytes = docs.agg(F.sum("n_bytes")).first()[0] or 0
     n_ranges = max(4, math.ceil(n_bytes / (length / 2) / RANGE_ANCHORS))
     n_docs = max(4, math.ceil(n_bytes / RANGE_BYTES))
@@ -499,7 +499,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     half = lambda k: F.conv(F.reverse(F.regexp_replace(F.substring("sha", 1 + 16 * k, 16), "(.)(.)", "$2$1")), 16, -10).cast("bigint")
     copies = docs.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("_rep"))
     named = copies.select(F.col("sha").alias("_sha"), "_rep", half(0).alias("_k1"), half(1).alias("_k2"))
-    named = stage.write(verdicts.join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("k1", "k2", "block", "_sha", "_rep"), "named")
+    named = stage.write(verdicts.join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("k1", "k2", "block", "_sha", "_rep"), "named", n_rows)
     texts = rows.select("doc_id", "text").where(id_filter(named, "_rep")(F.col("doc_id")))
     texts = texts.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep")))
     texts = texts.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")).select("k1", "k2", "text", "block")
@@ -521,7 +521,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = both.groupBy("at").applyInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
     left = left.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_removed", "n_spans", "kept_sha256")
     judged = copies.select(F.col("sha").alias("_sha"), "copies", half(0).alias("k1"), half(1).alias("k2"))
-    judged = stage.write(judged.join(left, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("_sha", "copies", "n_removed", "n_spans", "kept_sha256"), "judged")
+    judged = stage.write(judged.join(left, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("_sha", "copies", "n_removed", "n_spans", "kept_sha256"), "judged", n_rows)
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return docs.join(judged, F.col("sha") == F.col("_sha")).select(
         "doc_id", "n_bytes", F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
