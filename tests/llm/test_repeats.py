@@ -99,6 +99,18 @@ def test_repeats(spark, length, gram, step, hot):
     assert Counter(map(tuple, got)) == want
 
 
+def test_repeats_of_very_long_texts(spark):
+    """Texts longer than what is looked at at once, with a passage on both sides of a cut."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    passage = noise(900)
+    at = repeats.PIECE - 450
+    texts = [noise(at) + passage + noise(200_000), noise(3 * repeats.PIECE) + passage, noise(5000) + passage[:401], "z" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((i, *b) for i, b in enumerate(brute(texts, 400)))
+    assert Counter(map(tuple, repeats.without_repeats(df).collect())) == want
+
+
 def test_repeats_empty(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
