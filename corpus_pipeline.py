@@ -65,6 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, piece_ids, exact) for each row, as often as it is there; ids may be null."""
     return pieces.encode(docs)
 
 
