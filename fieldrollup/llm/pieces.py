@@ -11,6 +11,8 @@ An entry holds, for a prefix, what is needed to extend it:
   ranks, and the best sum of them is not the model's encoding. But adjacent pieces of a BPE
   encoding are exactly those whose own concatenation is encoded as the two, so that the last
   piece of a prefix is the one that is compatible with the last piece of what precedes it.
+  An automaton over the pieces tells which of them end at a character, and its node is
+  part of the entry. Only words that begin with several space marks are merged by definition.
 
 Words begin at runs of spaces. No piece holds a space mark after another character, so that
 no piece crosses the begin of a word; the reader checks that. Line ends and tabs are words
@@ -443,8 +445,10 @@ def _shared_model(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(data)  # a vocabulary file, of fixed size
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _mapped(df: DataFrame, id_col: str, col: str, run, schema: str) -> DataFrame:
+    """(doc_id, what ``run`` makes of the column). Ids may be of any type."""
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{col}`").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def encode(df: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,13 +458,12 @@ def encode(df: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id",
     as in the library, and so decodes to one. Null and empty texts have no pieces; null ids stay null; repeated
     rows are encoded each; an empty table gives an empty result; further columns aren't looked at.
     """
-    return _texts(df, id_col, text_col).mapInArrow(_encoder(_shared_model(df, model_path)), "doc_id long, n_pieces long, piece_ids array<int>, exact boolean")
+    return _mapped(df, id_col, text_col, _encoder(_shared_model(df, model_path)), "n_pieces long, piece_ids array<int>, exact boolean")
 
 
 def decode(df: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
     """(doc_id, text) from piece ids; null ids lists give empty texts."""
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(_decoder(_shared_model(df, model_path)), "doc_id long, text string")
+    return _mapped(df, id_col, ids_col, _decoder(_shared_model(df, model_path)), "text string")
 
 
 def token_counts(df: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,4 +471,4 @@ def token_counts(df: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc
 
     Only counts are kept at the ends of words. Edge cases as in ``encode``.
     """
-    return _texts(df, id_col, text_col).mapInArrow(_counter(_shared_model(df, model_path)), "doc_id long, n_words long, n_tokens long")
+    return _mapped(df, id_col, text_col, _counter(_shared_model(df, model_path)), "n_words long, n_tokens long")
