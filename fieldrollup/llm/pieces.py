@@ -113,7 +113,7 @@ class PieceModel:
         apart = "".join(c for c in "\t\n\x0b\x0c\r" if not any(c in p for p in self.ids if len(p) > 1))
         self._word = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + f"|[{apart}]" * bool(apart))
         self._fits: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._text = {i: p for p, i in self.ids.items()}
         self.sizes = [len(p) for p, _, _ in pieces]
         self._goto: dict[int, int] = {}
@@ -126,9 +126,14 @@ class PieceModel:
 
     def merge(self, word: str) -> list[str]:
         """BPE as it is defined: the best-scored adjacent pair first, the leftmost of equals."""
+        return self._merge(word)[0]
+
+    def _merge(self, word: str) -> tuple[list[str], tuple[str, str]]:
+        """(the pieces, the two that the last merge joined)."""
         parts: list[str | None] = list(word)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
+        joined = ("", "")
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else len(parts)
@@ -143,28 +148,61 @@ class PieceModel:
             _, i, j, both = heapq.heappop(heap)
             if parts[i] is None or j >= len(parts) or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
                 continue
+            joined = (parts[i], parts[j])
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
             offer(before[i])
             offer(i)
-        return [p for p in parts if p is not None]
+        return [p for p in parts if p is not None], joined
+
+    def _made_of(self, piece: int) -> tuple[int, int] | None:
+        """The pieces that a piece is merged from at last, itself twice for a character; None if merging doesn't give it."""
+        if piece not in self._halves:
+            text = self._text[piece]
+            parts, (left, right) = self._merge(text)
+            whole = (self.ids[left], self.ids[right]) if left else (piece, piece)
+            self._halves[piece] = whole if len(parts) == 1 else None
+        return self._halves[piece]
 
     def _alone(self, piece: int) -> bool:
-        ok = self._whole.get(piece)
-        if ok is None:
-            ok = self._whole[piece] = len(self.merge(self._text[piece])) == 1
-        return ok
+        return self._made_of(piece) is not None
 
     def _compatible(self, key: int) -> bool:
         """Whether two pieces are what their concatenation is encoded as. key: both ids, 24 bits each."""
-        x, y = self._text[key >> 24], self._text[key & 0xFFFFFF]
+        x, y = key >> 24, key & 0xFFFFFF
         if len(self._fits) > 1 << 20:
             self._fits.clear()
-        ok = self._fits[key] = self.merge(x + y) == [x, y]
+        if MARK + MARK in self._text[x] + self._text[y]:  # equal scores
+            ok = self.merge(self._text[x] + self._text[y]) == [self._text[x], self._text[y]]
+        else:
+            ok = self._alone(x) and self._alone(y) and self._stay_apart(x, y)
+        self._fits[key] = ok
         return ok
 
+    def _stay_apart(self, x: int, y: int) -> bool:
+        """Whether no merge crosses the border of two pieces that are each merged to one.
+
+        The merges at the border are undone from the last one on. Between two of them, the
+        pieces at the border would have merged if theirs came first; of equal scores the left one does.
+        """
+        # the merge undone last: its place in the order, and whether it was on the left
+        turn, on_left = float("inf"), False
+        while True:
+            both = self.ids.get(self._text[x] + self._text[y])
+            if both is not None and (-self.scores[both] < turn or -self.scores[both] == turn and not on_left):
+                return False
+            made_x, made_y = (-self.scores[p] if self.sizes[p] > 1 else -float("inf") for p in (x, y))
+            if made_x == made_y == -float("inf"):
+                return True
+            on_left = made_x > made_y
+            turn = max(made_x, made_y)
+            if on_left:
+                x = self._made_of(x)[1]
+            else:
+                y = self._made_of(y)[0]
+
     def _automaton(self) -> None:
         """The trie of pieces with the longest proper suffix of each node: a node tells which pieces end here, longest first."""
         child, fail, ends = self._child, [0], [()]
@@ -319,7 +357,8 @@ class PieceModel:
 class WordBook:
     """A worker's known words: their ids (or only how many) and whether these decode to the word.
 
-    Flat arrays, bounded by KNOWN_WORDS; a worker keeps its book from task to task.
+    Flat arrays, bounded by KNOWN_WORDS; a worker keeps its book from task to task. A full
+    book keeps the words that came again in a later slice, and is emptied if these fill it.
     """
 
     def __init__(self, model: PieceModel, counts_only: bool):
@@ -328,16 +367,32 @@ class WordBook:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.lengths, self.flat, self.exact = array("i"), array("i"), array("b")
+        self.lengths, self.flat, self.exact, self.again = array("i"), array("i"), array("b"), bytearray()
+
+    def _make_room(self) -> None:
+        """Forgets the words that haven't come again since the last time."""
+        again = np.frombuffer(self.again, np.uint8) > 0
+        if 2 * np.count_nonzero(again) > KNOWN_WORDS:
+            self.clear()
+            return
+        lengths = np.array(self.lengths, dtype=np.int32)
+        words = [w for w, old in self.place.items() if self.again[old]]  # in the order of their places
+        self.place = dict(zip(words, range(len(words)), strict=True))
+        if not self.counts_only:
+            self.flat = array("i", np.array(self.flat, dtype=np.int32)[np.repeat(again, lengths)].tobytes())
+            self.exact = array("b", np.array(self.exact, dtype=np.int8)[again].tobytes())
+        self.lengths = array("i", lengths[again].tobytes())
+        self.again = bytearray(len(words))
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > KNOWN_WORDS:
-            self.clear()
+            self._make_room()
         number: defaultdict[str, int] = defaultdict()
         number.default_factory = number.__len__
         code = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
         distinct = list(number)
         new = sorted(w for w in distinct if w not in self.place)
+        n_old = len(self.lengths)
         self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
         if self.counts_only:
             self.lengths.extend(self.model.count_sorted(new))
@@ -347,7 +402,9 @@ class WordBook:
                 self.lengths.append(len(ids))
                 self.flat.extend(ids)
             self.exact.extend(self._decode_again(new, self.flat[begin:]))
+        self.again.extend(bytes(len(new)))
         known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        np.frombuffer(self.again, np.uint8)[known[known < n_old]] = 1
         return known[code]
 
     def _decode_again(self, new: list[str], ids: array) -> list[bool]:

@@ -332,6 +332,31 @@ def test_long_words(model):
         assert model.decode(x) == word[1:]
 
 
+def test_pairs_of_pieces(model):
+    rng, names = random.Random(3), list(model.ids)
+    pairs = [(p[:i], p[i:]) for p in names[::5] for i in range(1, len(p))]
+    pairs += [(rng.choice(names), rng.choice(names)) for _ in range(20_000)]
+    pairs = [(x, y) for x, y in pairs if x in model.ids and y in model.ids]
+    defined = [model.merge(x + y) == [x, y] for x, y in pairs]
+    assert [model._compatible(model.ids[x] << 24 | model.ids[y]) for x, y in pairs] == defined and 0 < sum(defined) < len(pairs)
+
+
+@pytest.mark.parametrize("counts_only", [False, True])
+def test_full_books(model, counts_only, monkeypatch):
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 60)
+    rng, book = random.Random(4), pieces.WordBook(model, counts_only)
+    often = [pieces.MARK + "".join(rng.choices("abcde", k=4)) for _ in range(10)]
+    for k in range(40):
+        words = often[: rng.randrange(11)] + [pieces.MARK + "".join(rng.choices("abcde", k=5)) for _ in range(100 if k == 20 else 25)]
+        place = book.places(words)
+        ids = [next(model.encode_sorted([w])) for w in words]
+        assert [book.lengths[i] for i in place] == [len(x) for x in ids] and len(book.again) == len(book.lengths) == len(book.place)
+        if not counts_only:
+            flat, edge = book.gather(place)
+            assert [flat[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == ids and all(book.exact[i] for i in place)
+        assert len(book.place) <= 60 + len(words)
+
+
 def test_exact_per_word(model):
     book = pieces.WordBook(model, counts_only=False)
     book.lengths.append(0)
