@@ -393,7 +393,8 @@ class WordBook:
         distinct = list(number)
         new = sorted(w for w in distinct if w not in self.place)
         n_old = len(self.lengths)
-        self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        # copies lie side by side, so that the memory of the words that aren't kept is free as a whole
+        self.place.update(zip([(w + MARK)[:-1] for w in new], range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
         if self.counts_only:
             self.lengths.extend(self.model.count_sorted(new))
         else:
